@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": mixing.op4_mixing,
+    "op7_packing": packing.op7_packing,
     "op9_simhash": simhash.op9_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
