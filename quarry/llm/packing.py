@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY, END_ID, PIECE, GROUP = 2048, 1, 512, 4096
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -57,11 +58,9 @@ class WordIds(dict):
         found = self._older.get(word)
         if found is None:
             head = word.rstrip(PUNCTUATION)
-            if head and head != word and head[-1:].isalpha() and b"<|" not in word:
-                found = self[head] + self[word[len(head) :]]
-            else:
-                ids = self._encode(word.decode("utf-8"), add_special_tokens=False).ids
-                found = np.array(ids, "<u4").tobytes()
+            if len(head) != len(word) and head[-1:].isalpha() and b"<|" not in word:
+                return self[head] + self[word[len(head) :]]  # not kept: its parts are
+            found = array("I", self._encode(word.decode("utf-8"), None, False, False).ids).tobytes()
         if len(self) >= CACHE_WORDS:
             self._older = dict(self)
             self.clear()
@@ -70,8 +69,13 @@ class WordIds(dict):
 
     def text(self, text: bytes) -> bytes:
         """The ids of a whole text."""
-        lowered = text if b"<|" in text else text.lower()  # special tokens are matched before lowering
-        return b"".join(map(self.__getitem__, lowered.split()))
+        if b"<|" in text:  # special tokens are matched before lowering
+            return b"".join(map(self.__getitem__, text.split()))
+        a = np.frombuffer(text.lower(), np.uint8)
+        at = np.flatnonzero((a == 46) | (a == 44))  # a comma or full stop between a letter and white space: a word of its own
+        at = at[(at > 0) & (at < len(a) - 1)]
+        at = at[(a[at - 1] >= 97) & (a[at - 1] <= 122) & ((a[at + 1] == 32) | (a[at + 1] == 10))]
+        return b"".join(map(self.__getitem__, np.insert(a, at, 32).tobytes().split()))
 
 
 _loaded: dict[str, WordIds] = {}
@@ -189,7 +193,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     groups = max(1, -(-found.count() // group))
     dealt = found.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     names = found.columns
-    dealt = dealt.select("g", *names).repartition(min(groups, 8 * common.partitions(spark)), "g")
+    dealt = dealt.select("g", *names).repartition(min(groups, common.partitions(spark)), "g")
     dealt = dealt.sortWithinPartitions("g", F.desc("length"), "doc_id", "start", "ids_crc32")
     at = 1 + names.index("length")
 
