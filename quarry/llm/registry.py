@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash
+from . import language, mixing, packing, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": mixing.op4_mixing,
+    "op5_warc": warc.op5_warc,
     "op7_packing": packing.op7_packing,
+    "op8_language": language.op8_language,
     "op9_simhash": simhash.op9_simhash,
+    "op10_secrets": secrets.op10_secrets,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": warc.OP5_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
