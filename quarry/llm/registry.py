@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, language, mixing, packing, pii, secrets, simhash, substrings, warc
+from . import embeddings, iblt, language, mixing, packing, pii, secrets, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_embeddings": embeddings.op2_embeddings,
+    "op3_fingerprints": iblt.op3_fingerprints,
     "op4_mixing": mixing.op4_mixing,
     "op5_warc": warc.op5_warc,
     "op6_substrings": substrings.op6_substrings,
