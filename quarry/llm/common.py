@@ -40,7 +40,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quarry_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._quarry_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -75,9 +84,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         large = materialize(large, name)
+        drop(now, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         linked = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(linked.union(least.select("u", F.col("m").alias("v"))).distinct(), name)
+        drop(large, least)
         before, state = state, _state(now)
         if before == state:
             break

@@ -147,20 +147,24 @@ def spans(docs: DataFrame, width: int = WIDTH, short: int = SHORT) -> DataFrame:
     shared = common.materialize(shared, "shared-anchors")
     places = marked.join(shared, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     places = common.materialize(places, "anchor-places")
+    common.drop(marked, shared)
     edges = common.materialize(_edges(_numbered(docs).join(places, "doc_id"), width, short), "edges")
     first = edges.groupBy("h", "c").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    common.drop(places)
     first = common.materialize(first, "first-edges")
     later = edges.join(first, ["h", "c"]).where("source < doc_id").select("doc_id", "nth", "pos", "source", "h")
     run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "nth", "source").orderBy("pos"))
     found = later.withColumn("run", run).groupBy("doc_id", "nth", "source", "run")
     found = found.agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("edges"), F.min_by("h", "pos").alias("first_h"), F.max_by("h", "pos").alias("last_h"))
-    return found.select("doc_id", "nth", "start", "edges", "source", "first_h", "last_h")
+    found = common.materialize(found.select("doc_id", "nth", "start", "edges", "source", "first_h", "last_h"), "spans")
+    common.drop(edges, first)
+    return found
 
 
 def removed(docs: DataFrame, width: int = WIDTH, short: int = SHORT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept (its text without repeated passages)."""
     found = spans(docs, width, short).groupBy(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"))
-    found = common.materialize(found.agg(F.array_sort(F.collect_list(F.struct("start", "edges", "first_h", "last_h"))).alias("spans")), "spans")
+    found = common.materialize(found.agg(F.array_sort(F.collect_list(F.struct("start", "edges", "first_h", "last_h"))).alias("spans")), "document-spans")
     rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("nth") == F.col("_nth")), "left").select("doc_id", "text", "spans")
 
