@@ -13,7 +13,7 @@ smaller doc_id.
    the edge's occurrences.  Runs of occurrences that follow each other in a document and
    come from one source, the graph's nonbranching paths, compact into spans.
 4. Spans go to their documents by coordinates, and each span's words are checked there
-   against the digest of its first and last edge before any word goes.
+   against 16 bits of the hashes of its first and last edge before any word goes.
 
 Edges are compared by 96 bits of two independent polynomial hashes.
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -139,8 +139,14 @@ def _edges(rows: DataFrame, width: int, short: int) -> DataFrame:
     return rows.select("doc_id", "nth", "text", "places").mapInArrow(run, "h long, c int, doc_id long, nth int, pos int")
 
 
+def _proof(h: Column) -> Column:
+    """The low 16 bits of an edge's hash, which travel with its occurrences."""
+    low = h.bitwiseAND(F.lit(0xFFFF).cast("long"))
+    return F.when(low >= 0x8000, low - 0x10000).otherwise(low).cast("smallint")
+
+
 def spans(docs: DataFrame, width: int = WIDTH, short: int = SHORT) -> DataFrame:
-    """(doc_id, nth, start, edges, source, first_h, last_h): runs of repeated windows and the document they come from."""
+    """(doc_id, nth, start, edges, source, first_proof, last_proof): runs of repeated windows and the document they come from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     marked = common.materialize(_marked(docs, width, short), "anchors")
     shared = marked.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
@@ -152,11 +158,11 @@ def spans(docs: DataFrame, width: int = WIDTH, short: int = SHORT) -> DataFrame:
     first = edges.groupBy("h", "c").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     common.drop(places)
     first = common.materialize(first, "first-edges")
-    later = edges.join(first, ["h", "c"]).where("source < doc_id").select("doc_id", "nth", "pos", "source", "h")
+    later = edges.join(first, ["h", "c"]).where("source < doc_id").select("doc_id", "nth", "pos", "source", _proof(F.col("h")).alias("proof"))
     run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "nth", "source").orderBy("pos"))
     found = later.withColumn("run", run).groupBy("doc_id", "nth", "source", "run")
-    found = found.agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("edges"), F.min_by("h", "pos").alias("first_h"), F.max_by("h", "pos").alias("last_h"))
-    found = common.materialize(found.select("doc_id", "nth", "start", "edges", "source", "first_h", "last_h"), "spans")
+    found = found.agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("edges"), F.min_by("proof", "pos").alias("first_proof"), F.max_by("proof", "pos").alias("last_proof"))
+    found = common.materialize(found.select("doc_id", "nth", "start", "edges", "source", "first_proof", "last_proof"), "spans")
     common.drop(edges, first)
     return found
 
@@ -164,7 +170,7 @@ def spans(docs: DataFrame, width: int = WIDTH, short: int = SHORT) -> DataFrame:
 def removed(docs: DataFrame, width: int = WIDTH, short: int = SHORT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept (its text without repeated passages)."""
     found = spans(docs, width, short).groupBy(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"))
-    found = common.materialize(found.agg(F.array_sort(F.collect_list(F.struct("start", "edges", "first_h", "last_h"))).alias("spans")), "document-spans")
+    found = common.materialize(found.agg(F.array_sort(F.collect_list(F.struct("start", "edges", "first_proof", "last_proof"))).alias("spans")), "document-spans")
     rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("nth") == F.col("_nth")), "left").select("doc_id", "text", "spans")
 
@@ -177,7 +183,7 @@ def removed(docs: DataFrame, width: int = WIDTH, short: int = SHORT) -> DataFram
                 for s in own.as_py() or ():
                     start, stop = s["start"], s["start"] + s["edges"] - 1 + width
                     ends = rolling(hashed(words[start : start + width]), width), rolling(hashed(words[stop - width : stop]), width)
-                    if stop > len(words) or [int(e.view(np.int64)[0]) for e in ends] != [s["first_h"], s["last_h"]]:
+                    if stop > len(words) or [int(e.astype(np.uint16).view(np.int16)[0]) for e in ends] != [s["first_proof"], s["last_proof"]]:
                         raise ValueError("a span doesn't fit its document")
                     mark[start] += 1
                     mark[stop] -= 1
