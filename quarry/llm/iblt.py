@@ -1,17 +1,17 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame functions only.
 
 A document's paragraphs (lines, cut into pieces of at most ``PIECE`` words) are hashed to a
-set of digests.  A sketch has three subtables of cells; a digest is added to one cell of
+set of digests.  A sketch has four subtables of cells; a digest is added to one cell of
 each: to its count, to the XOR of its digests and to the XOR of their checks.  The sketch of
 another version subtracts.  A cell with count 1 or -1 whose check fits holds one digest
-that is in one version only; taking it out of its other two cells may uncover more.  When
+that is in one version only; taking it out of its other cells may uncover more.  When
 all cells are empty, every differing digest has been recovered, and the likeness of the
 versions is the share of digests they have in common (Jaccard).  Sketches are sized for an
 expected difference; where peeling fails, it is tried again with twice the cells, until
 none fails.
 
-The fingerprint of a text is its small sketch of ``BASE`` cells for each subtable, as text;
-equal texts have equal fingerprints.
+The fingerprint of a text is its sketch of ``BASE_TABLES`` times ``BASE`` cells, as text; equal
+texts have equal fingerprints.
 
 Versions meet in the partition where their document lies: cells are keyed by document
 within a range bucket of doc_id, so that building and all peeling steps run in one stage
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PIECE, BASE, CELLS, STEPS = 6, 4, 2.4, 10
+PIECE, CELLS, STEPS, SUBTABLES = 6, 2.4, 12, 4
+BASE_TABLES, BASE = 3, 4  # of the fingerprint, which is small and fixed
 FIRST = -(1 << 63)  # stands for a null doc_id
 UNIT = rf"{common.WORD}(?:[\x20\x09]+{common.WORD}){{0,{PIECE - 1}}}"
 #: Cells that hold totals, beside the sketch's own (0 and up).
@@ -49,24 +50,32 @@ def check(digest: Column) -> Column:
 
 
 def slot(digest: Column, subtable: int, width: Column) -> Column:
-    """The cell of a digest in a subtable of a sketch of three times width cells."""
+    """The cell of a digest in a subtable of a sketch of width cells for each."""
     return (F.pmod(F.xxhash64(digest, F.lit(subtable)), width) + width * subtable).cast("int")
 
 
-def fingerprint(found: Column) -> Column:
-    """The small sketch as text: count, digests and checks of each cell in hexadecimal."""
-    cells = []
-    for j in range(3):
-        for s in range(BASE):
-            own = F.filter(found, _in(j, s))
-            key = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-            proof = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(check(x)))
-            cells.append(F.concat_ws(":", F.hex(F.size(own)), F.hex(key), F.hex(proof)))
-    return F.lower(F.concat_ws(".", *cells))
+def fingerprints(rows: DataFrame, by: list[str], sets: list[str]) -> DataFrame:
+    """by..., and for each set of digests its small sketch as text: count, digests and checks of each cell in hexadecimal.
+
+    One aggregate of all cells over the exploded sets, without a shuffle if rows are partitioned by some of by.
+    """
+    tagged = F.concat(*(F.transform(c, _tag(i)) for i, c in enumerate(sets)))
+    each = rows.select(*by, F.explode_outer(tagged).alias("t")).select(*by, F.col("t.set").alias("set"), F.col("t.x").alias("x"), check(F.col("t.x")).alias("proof"))
+    zero, aggs, texts = F.lit(0).cast("long"), [], []
+    for i, name in enumerate(sets):
+        cells = []
+        for j in range(BASE_TABLES):
+            for c in range(BASE):
+                own = (F.col("set") == i) & (F.shiftright("x", 2 * j).bitwiseAND(F.lit(BASE - 1).cast("long")) == c)
+                cell = f"c{i}_{j}_{c}"
+                aggs += [F.count_if(own).alias(f"{cell}n"), F.bit_xor(F.when(own, F.col("x")).otherwise(zero)).alias(f"{cell}x"), F.bit_xor(F.when(own, F.col("proof")).otherwise(zero)).alias(f"{cell}p")]
+                cells.append(F.concat_ws(":", *(F.hex(F.coalesce(f"{cell}{k}", zero)) for k in "nxp")))
+        texts.append(F.lower(F.concat_ws(".", *cells)).alias(name))
+    return each.groupBy(*by).agg(*aggs).select(*by, *texts)
 
 
-def _in(subtable: int, cell: int):
-    return lambda x: F.shiftright(x, 2 * subtable).bitwiseAND(F.lit(BASE - 1).cast("long")) == cell
+def _tag(i: int):
+    return lambda x: F.struct(F.lit(i).alias("set"), x.alias("x"))
 
 
 def _cell(pos: Column, cnt: Column, key: Column, proof: Column) -> Column:
@@ -84,7 +93,7 @@ def peeled(pairs: DataFrame, by: list[str], scale: float = 1.0, steps: int = STE
     peeled.  If pairs are partitioned by some of the columns in by, nothing is shuffled.
     """
     total = F.size("a") + F.size("b")
-    width = F.ceil(total * F.col("expected") * F.lit(CELLS * scale / 3)).cast("int") + 5
+    width = F.ceil(total * F.col("expected") * F.lit(CELLS * scale / SUBTABLES)).cast("int") + 8
     signed = F.concat(
         F.transform("a", lambda x: F.struct(F.lit(1).alias("sign"), x.alias("x"))),
         F.transform("b", lambda x: F.struct(F.lit(-1).alias("sign"), x.alias("x"))),
@@ -92,15 +101,15 @@ def peeled(pairs: DataFrame, by: list[str], scale: float = 1.0, steps: int = STE
     )
     rows = pairs.select(*by, width.alias("width"), F.explode(signed).alias("i")).select(*by, "width", "i.sign", "i.x")
     x, w, sign = F.col("x"), F.col("width"), F.col("sign")
-    added = F.array(*(_cell(slot(x, j, w), sign, x, check(x)) for j in range(3)))
+    added = F.array(*(_cell(slot(x, j, w), sign, x, check(x)) for j in range(SUBTABLES)))
     sizes = F.array(_cell(F.when(sign == 0, SIZE_A).otherwise(SIZE_B), x, F.lit(0), F.lit(0)))
     cells = rows.select(*by, "width", F.explode(F.when(sign.isin(1, -1), added).otherwise(sizes)).alias("cell"))
     cells = _summed(cells, by)
     pos, cnt, key = F.col("pos"), F.col("cnt"), F.col("key")
     for step in range(steps):
-        j = step % 3
+        j = step % SUBTABLES
         pure = (pos >= w * j) & (pos < w * (j + 1)) & (F.abs(cnt) == 1) & (F.col("proof") == check(key))
-        taken = [_cell(slot(key, k, w), -cnt, key, F.col("proof")) for k in range(3) if k != j]
+        taken = [_cell(slot(key, k, w), -cnt, key, F.col("proof")) for k in range(SUBTABLES) if k != j]
         taken.append(_cell(F.when(cnt == 1, ONLY_A).otherwise(ONLY_B), F.lit(1), F.lit(0), F.lit(0)))
         same = F.array(_cell(pos, cnt, key, F.col("proof")))
         cells = _summed(cells.select(*by, "width", F.explode(F.when(pure, F.array(*taken)).otherwise(same)).alias("cell")), by)
@@ -192,7 +201,7 @@ def compared(docs: DataFrame, bounds: list[int]) -> DataFrame:
         rows = rows.withColumn("edited_found", digests(edited(F.col("text"), F.col("next_text"))))
         other = F.when(F.col("c") == 0, F.col("edited_found")).otherwise(F.col("next_found"))
         pairs = rows.select(*by, F.col("found").alias("a"), other.alias("b"), F.lit(1.0).alias("expected"))
-        found = common.materialize(peeled(pairs, by, scale, STEPS + 3), "iblt")
+        found = common.materialize(peeled(pairs, by, scale, STEPS + 4), "iblt")
         out = out.union(good())
     pick = lambda c: F.max(F.when(F.col("c") == c, F.col("near")))
     return out.groupBy("bucket", "rn").agg(pick(0).alias("near_edited"), pick(1).alias("near_next"))
@@ -202,7 +211,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = _bounds(rows, 4 * common.partitions(spark))
+    bounds = _bounds(rows, 6 * common.partitions(spark))
     if not bounds:
         empty = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
         return spark.createDataFrame([], empty)
@@ -210,8 +219,9 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     found = neighbours(rows, bounds).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     found = found.select(
         "bucket", "rn", F.when(F.col("k") != FIRST, F.col("k")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("found")).alias("fingerprint"), fingerprint(digests(F.col("edited"))).alias("edited_fingerprint"),
+        F.col("found").alias("fingerprint"), digests(F.col("edited")).alias("edited_fingerprint"),
     )
+    found = fingerprints(found, ["bucket", "rn", "doc_id", "n_chars", "edited_sha256"], ["fingerprint", "edited_fingerprint"])
     return found.join(near, ["bucket", "rn"]).drop("bucket", "rn")
 
 
