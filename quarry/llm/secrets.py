@@ -60,14 +60,16 @@ def codes(run: str) -> np.ndarray:
     return CODE[np.frombuffer(run.encode("ascii"), np.uint8)]
 
 
-def transitions(strings: list[str]) -> np.ndarray:
-    """Log-probabilities of the next character, smoothed; the last row is the start."""
+def transitions(strings: list[str], weight: float = 5.0) -> np.ndarray:
+    """Log-probabilities of the next character; the last row is the start.  Rare rows lean on how frequent characters are."""
     n = len(ALPHABET)
-    count = np.full((n + 1, n), 0.5)
+    count = np.zeros((n + 1, n))
     for s in strings:
         c = codes(s)
         count[n, c[0]] += 1
         np.add.at(count, (c[:-1], c[1:]), 1)
+    single = count.sum(0) + 0.5
+    count += weight * single / single.sum()
     return np.log(count / count.sum(1, keepdims=True))
 
 
@@ -80,7 +82,7 @@ def random_strings(n: int = RANDOM_STRINGS, seed: int = SEED) -> list[str]:
 
 
 def ordinary_words(docs: DataFrame, words: int = TRAIN_WORDS, sample: int = TRAIN_DOCS) -> list[str]:
-    """Labelled sample of ordinary text: runs of token characters outside of base spans, at
+    """Labelled sample of ordinary text: runs of token characters outside of base spans with few digits, at
     most ``words`` of them, from the ``sample`` documents of smallest hash."""
     marked = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(SEED), "doc_id").alias("h"))
     last = marked.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
@@ -94,7 +96,7 @@ def ordinary_words(docs: DataFrame, words: int = TRAIN_WORDS, sample: int = TRAI
                 text = value.as_py() or ""
                 at = 0
                 for a, b, _ in [*base_spans(text), (len(text), len(text), "")]:
-                    out += [w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,}", text[at:a]) if sum(c.isdigit() for c in w) * 3 < len(w)]
+                    out += [w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,}", text[at:a]) if sum(c.isdigit() for c in w) * 6 < len(w)]
                     at = max(at, b)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["w"])
 
