@@ -37,10 +37,10 @@ MALE = r"Mr\.|Mister|Herr|Monsieur|Señor|господин|г-н"
 FEMALE = r"Mrs\.|Ms\.|Frau|Madame|Mme|Señora|госпожа|г-жа"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
-    "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "ip": rf"(?<!\d)(?<!\d\.){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
+    "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!\d)(?<!\d[.-])\d{3}[.-]\d{3}[.-]\d{4}(?![.-]?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])[3-6]\d{3}(?:\d{9,15}|(?:[ -]\d{4}){3}|[ -]\d{6}[ -]\d{5})(?!\d)",
+    "card": r"(?<!\d)(?<!\d[.-])[2-6]\d{3}(?:\d{9,15}|(?:[ -]\d{4}){3}|[ -]\d{6}[ -]\d{5})(?!\d)",
     "person": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}) ?\p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?",
 }
 ENTITY = "|".join(PATTERNS.values())
@@ -57,7 +57,7 @@ SYLLABLES = {
 def kind(e: Column) -> Column:
     """The type of a match."""
     return (
-        F.when(F.contains(e, F.lit("@")), "email").when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(e.rlike(r"^[+(]"), "phone")
+        F.when(F.contains(e, F.lit("@")), "email").when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(e.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^\d"), "card").otherwise("person")
     )
 

@@ -15,7 +15,8 @@ smaller doc_id.
 4. Spans go to their documents by coordinates, and each span's words are checked there
    against 16 bits of the hashes of its first and last edge before any word goes.
 
-Edges are compared by 96 bits of two independent polynomial hashes.
+The joins sort and merge at every size, so that small tables plan like large ones.  Edges are
+compared by 96 bits of two independent polynomial hashes.
 
 Defined results: null text has no words; a text of fewer than width words loses nothing; a
 null doc_id neither loses words nor is a source; rows with one doc_id are judged each by
@@ -151,14 +152,14 @@ def spans(docs: DataFrame, width: int = WIDTH, short: int = SHORT) -> DataFrame:
     marked = common.materialize(_marked(docs, width, short), "anchors")
     shared = marked.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     shared = common.materialize(shared, "shared-anchors")
-    places = marked.join(shared, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    places = marked.join(shared.hint("merge"), "h").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     places = common.materialize(places, "anchor-places")
     common.drop(marked, shared)
-    edges = common.materialize(_edges(_numbered(docs).join(places, "doc_id"), width, short), "edges")
+    edges = common.materialize(_edges(_numbered(docs).join(places.hint("merge"), "doc_id"), width, short), "edges")
     first = edges.groupBy("h", "c").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     common.drop(places)
     first = common.materialize(first, "first-edges")
-    later = edges.join(first, ["h", "c"]).where("source < doc_id").select("doc_id", "nth", "pos", "source", _proof(F.col("h")).alias("proof"))
+    later = edges.join(first.hint("merge"), ["h", "c"]).where("source < doc_id").select("doc_id", "nth", "pos", "source", _proof(F.col("h")).alias("proof"))
     run = F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "nth", "source").orderBy("pos"))
     found = later.withColumn("run", run).groupBy("doc_id", "nth", "source", "run")
     found = found.agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("edges"), F.min_by("proof", "pos").alias("first_proof"), F.max_by("proof", "pos").alias("last_proof"))
@@ -172,7 +173,7 @@ def removed(docs: DataFrame, width: int = WIDTH, short: int = SHORT) -> DataFram
     found = spans(docs, width, short).groupBy(F.col("doc_id").alias("_id"), F.col("nth").alias("_nth"))
     found = common.materialize(found.agg(F.array_sort(F.collect_list(F.struct("start", "edges", "first_proof", "last_proof"))).alias("spans")), "document-spans")
     rows = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("nth") == F.col("_nth")), "left").select("doc_id", "text", "spans")
+    rows = rows.join(found.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("nth") == F.col("_nth")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
