@@ -473,3 +473,18 @@ def parse_errors(text: str, lang: str | None) -> list[tuple[int, str, str]]:
             else:
                 out.append((line, "error", t))
     return out + [(line, "missing", {"(": ")", "[": "]", "{": "}"}[t]) for line, t in stack]
+
+
+def test_outline(text: str) -> list[tuple[int, int, str, str]]:
+    """(line, depth, suite or test, name) of describe, context, it, test and specify calls."""
+    out, depth, opens = [], 0, []
+    for number, (line, plain) in enumerate(zip(text.split("\n"), _masked(text, "javascript").split("\n"), strict=True), 1):
+        if m := re.match(r"^\s*(describe|context|it|test|specify)(?:\.\w+)*\s*\(\s*(['\"`])(.*?)\2", line):
+            kind = "suite" if m[1] in ("describe", "context") else "test"
+            out.append((number, len(opens), kind, m[3]))
+            if kind == "suite":
+                opens.append(depth)
+        depth += plain.count("{") - plain.count("}")
+        while opens and depth <= opens[-1] and "}" in plain:
+            opens.pop()
+    return out

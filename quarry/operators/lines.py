@@ -132,3 +132,18 @@ def view(rows: DataFrame, key: list[str], kind: Column) -> DataFrame:
     tail = F.when(F.col("_kind") == "log", 5).when(F.col("_kind") == "tabular", 3).otherwise(10)
     part = F.when(F.col("nth") <= head, "head").when(F.col("nth") > F.col("total") - tail, "tail")
     return rows.withColumn("part", part).where("part is not null").drop("_kind", "nth")
+
+
+def code_blocks(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Fenced blocks of each Markdown file."""
+    fences = F.count_if(F.col("text").rlike(r"^ {0,3}(?:```|~~~)"))
+    return rows.groupBy(*key).agg(F.floor((fences + 1) / 2).alias("blocks"))
+
+
+def expanded(rows: DataFrame, matches: DataFrame, around: int = 10, whole: int = 800) -> DataFrame:
+    """Lines to show for matches (path, line, def_start, def_end): all of a file of few tokens, else the definition or some lines around; leading imports of a file's top are left out."""
+    sizes = rows.groupBy("path").agg(F.sum(F.octet_length("text") + 1).alias("_bytes"))
+    m = matches.select("path", F.col("line").alias("match"), F.coalesce("def_start", F.col("line") - around).alias("_a"), F.coalesce("def_end", F.col("line") + around).alias("_b"))
+    out = rows.join(m.join(sizes, "path"), "path").where((F.col("_bytes") < whole * 4) | ((F.col("line") >= F.col("_a")) & (F.col("line") <= F.col("_b"))))
+    lead = (F.col("_a") <= 5) & (F.col("line") < F.col("match")) & F.col("text").rlike(r"^\s*(?:import |from |use |#include|require )")
+    return out.where(~lead).select("path", "match", "line", "text").orderBy("path", "match", "line")

@@ -176,3 +176,50 @@ def test_streams(spark, tmp_path):
     q = sessions.counts(stream).writeStream.format("memory").queryName("n").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r["event_type"], r["n"]) for r in spark.table("n").collect()) == [("click", 1), ("view", 2)]
+
+
+def test_targets():
+    from quarry.functions import targets as t
+
+    assert t.target("src/a.rs:12") == ("src/a.rs", 12, None) and t.target("A::b") == (None, None, "A::b")
+    assert t.qualified("Auth.validate") == ("Auth", "validate") and t.qualified("std::path") == ("std", "path") and t.qualified("x") == (None, "x")
+    assert t.pattern("/a.b/") == ("a.b", True) and t.line_range("3-9") == (3, 9) and t.line_range("9-3") is None and t.file_scope("a/b.rs:run") == ("a/b.rs", "run")
+    assert t.anchored("a/../b", "/r") == "b"
+    with pytest.raises(ValueError, match="outside"):
+        t.anchored("../x", "/r")
+
+
+def test_sinks_and_git(spark, tmp_path):
+    import subprocess
+
+    from quarry.sources import git, sinks
+
+    root = str(tmp_path)
+    run = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    batch = spark.createDataFrame([("a.py", "def hello():\n    pass\n"), ("d/b.py", "x = 1\n")], "path string, text string")
+    assert sinks.write_back(batch, root, "create") == 2
+    with pytest.raises(FileExistsError):
+        sinks.write_back(batch, root, "create")
+    with pytest.raises(ValueError, match="twice"):
+        sinks.write_back(batch.union(spark.createDataFrame([("./a.py", "")], "path string, text string")), root)
+    run("add", ".")
+    run("commit", "-qm", "first change")
+    sinks.write(f"{root}/a.py", "def hello():\n    return 1\n", "overwrite")
+    rows = diff.diff_lines(git.diff(spark, root)).collect()
+    assert {(r["kind"], r["content"]) for r in rows if r["kind"] != "context"} == {("removed", "    pass"), ("added", "    return 1")}
+    old, new = git.sides(spark, root, ["a.py"])
+    assert "pass" in old.first()["text"] and "return 1" in new.first()["text"]
+    assert [r["subject"] for r in git.log(spark, root, "HEAD").collect()] == ["first change"]
+    assert git.status(root, 5)[1] == 1 and git.git(root, "no-such-command") is None
+
+
+def test_outlines_of_tests_and_blocks(spark):
+    from quarry.functions import facts
+
+    text = "describe('a', () => {\n  it('b', () => { x(); });\n  context('c', () => {\n    test('d', f);\n  });\n});\nit('e', g);\n"
+    assert facts.test_outline(text) == [(1, 0, "suite", "a"), (2, 1, "test", "b"), (3, 1, "suite", "c"), (4, 2, "test", "d"), (7, 0, "test", "e")]
+    rows = lines.lines(spark.createDataFrame([("m.md", "# A\n```\nx\n```\n~~~\ny\n")], "path string, text string"))
+    assert lines.code_blocks(rows, ["path"]).first()["blocks"] == 2
+    match = spark.createDataFrame([("m.md", 3, None, None)], "path string, line int, def_start int, def_end int")
+    assert lines.expanded(rows, match).count() == 6
