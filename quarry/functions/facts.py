@@ -171,7 +171,8 @@ RULES: dict[str, list[tuple[str, re.Pattern]]] = {
 METHOD = re.compile(rf"^\s*{MODS}(?:get\s+|set\s+|\*\s*|#)?{NAME}\s*\([^;]*\)\s*(?::[^={{]*)?\{{")
 CONST_FUNCTION = re.compile(rf"^\s*(?:export\s+)?(?:default\s+)?const\s+{NAME}")
 ALIASES = {"typescript": "javascript", "tsx": "javascript", "scala": "kotlin", "cpp": "c", "csharp": "java"}
-NOT_CALLS = set("if for while switch match return catch fn func function def class struct enum impl trait sizeof typeof new await async let const var use import export in of do else elif with assert raise yield throw try loop where and or not lambda print_r unless until when case defer go select super".split()) - {"print_r", "super"}
+NOT_CALLS = set("if for while switch match return catch fn func function def class struct enum impl trait sizeof typeof new await async let const var use import export in of do else elif with assert raise yield throw try loop where and or not lambda unless until when case".split())
+GO_WORDS = {"go", "defer", "select", "range"}
 NESTING = ("class", "struct", "module", "interface", "impl", "enum")
 
 
@@ -190,6 +191,7 @@ def _masked(text: str, lang: str) -> str:
 def brace_facts(text: str, lang: str) -> Facts:
     own = ALIASES.get(lang, lang)
     patterns, facts = RULES.get(own, []), Facts()
+    no_calls = NOT_CALLS | GO_WORDS if lang == "go" else NOT_CALLS
     raw, lines = text.split("\n"), _masked(text, lang).split("\n")
     stack: list[tuple[Symbol | None, int]] = []  # open symbol, brace depth outside of it
     depth, pending = 0, None
@@ -198,11 +200,11 @@ def brace_facts(text: str, lang: str) -> Facts:
         found = None
         if inside is None or inside.kind in NESTING or lang in ("rust", "go"):
             for kind, p in patterns:
-                if (m := p.match(line)) and m[1] not in NOT_CALLS:
+                if (m := p.match(line)) and m[1] not in no_calls:
                     found = Symbol(kind, m[1].strip(), number, number, signature(raw[number - 1]))
                     break
             if not found and own == "javascript":
-                if inside and inside.kind == "class" and (m := METHOD.match(line)) and m[1] not in NOT_CALLS:
+                if inside and inside.kind == "class" and (m := METHOD.match(line)) and m[1] not in no_calls:
                     found = Symbol("function", m[1], number, number, signature(raw[number - 1]))
                 elif not inside and (m := CONST_FUNCTION.match(line)):
                     found = Symbol("constant", m[1], number, number, signature(raw[number - 1]))
@@ -225,7 +227,7 @@ def brace_facts(text: str, lang: str) -> Facts:
         if pending and line.rstrip().endswith(";"):
             pending = None
         for m in re.finditer(r"([A-Za-z_$][\w$]*)(!?)\s*(?:::<[^>]*>)?\(", line):
-            if m[1] not in NOT_CALLS and not (found and m[1] == found.name and found.kind == "function"):
+            if m[1] not in no_calls and not (found and m[1] == found.name and found.kind == "function"):
                 facts.calls.append((number, m[1]))
         facts.members += [(number, m[1]) for m in re.finditer(r"\b(?:self|this)\s*(?:\.|->)\s*([A-Za-z_]\w*)", line)]
     for open_symbol, _ in stack:
