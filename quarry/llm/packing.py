@@ -26,6 +26,7 @@ import heapq
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +44,20 @@ class WordIds(dict):
     """Word (bytes, A-Z lowered) to its ids (little-endian 32-bit), filled on demand.
 
     Two generations bound it: once the younger is full it becomes the older, and words
-    still in use move over.  Trailing punctuation is a token run of its own, so a word
-    followed by it costs no encoding once both parts are known.
+    still in use move over.  New words of letters alone are one token run each; they are
+    encoded together and told apart by the tokens that end a word.  Trailing punctuation
+    is a run of its own, so it is split off before words are looked up.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self._encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self._encode, self._encode_many = tokenizer.encode, tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -61,21 +67,58 @@ class WordIds(dict):
             if len(head) != len(word) and head[-1:].isalpha() and b"<|" not in word:
                 return self[head] + self[word[len(head) :]]  # not kept: its parts are
             found = array("I", self._encode(word.decode("utf-8"), None, False, False).ids).tobytes()
+        self[word] = found
+        return found
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Takes in new words, those of letters alone in one encoding."""
         if len(self) >= CACHE_WORDS:
             self._older = dict(self)
             self.clear()
-        self[word] = found
-        return found
+        older, batch, texts = self._older.get, [], []
+        for word in words:
+            found = older(word)
+            if found is not None:
+                self[word] = found
+            elif (text := word.decode("utf-8")).isalpha():
+                batch.append(word)
+                texts.append(text)
+        if not batch:
+            return
+        ids = np.array(self._encode_many([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        stop = np.flatnonzero(self._ends[ids])
+        if len(stop) != len(batch):  # lower case made more than letters of some letter
+            return
+        raw, start = ids.tobytes(), 0
+        for word, end in zip(batch, ((stop + 1) * 4).tolist(), strict=True):
+            self[word] = raw[start:end]
+            start = end
 
     def text(self, text: bytes) -> bytes:
         """The ids of a whole text."""
         if b"<|" in text:  # special tokens are matched before lowering
             return b"".join(map(self.__getitem__, text.split()))
         a = np.frombuffer(text.lower(), np.uint8)
-        at = np.flatnonzero((a == 46) | (a == 44))  # a comma or full stop between a letter and white space: a word of its own
-        at = at[(at > 0) & (at < len(a) - 1)]
-        at = at[(a[at - 1] >= 97) & (a[at - 1] <= 122) & ((a[at + 1] == 32) | (a[at + 1] == 10))]
-        return b"".join(map(self.__getitem__, np.insert(a, at, 32).tobytes().split()))
+        words = np.insert(a, tails(a), 32).tobytes().split()
+        if new := list(filterfalse(self.__contains__, set(words))):
+            self._learn(new)
+        return b"".join(map(self.__getitem__, words))
+
+
+CLASS = np.zeros(256, np.uint8)  # 1 punctuation, 2 white space, 3 a-z, 0 anything else
+CLASS[list(PUNCTUATION)], CLASS[[32, 9, 10, 11, 12, 13]], CLASS[97:123] = 1, 2, 3
+
+
+def tails(a: np.ndarray) -> np.ndarray:
+    """Where punctuation begins that follows a letter and lasts to the word's end: it can be a word of its own."""
+    kind = CLASS[a]
+    mark = kind == 1
+    start = np.flatnonzero(mark[1:] & (kind[:-1] == 3)) + 1
+    if not len(start):
+        return start
+    after = np.append(np.flatnonzero(mark[:-1] & ~mark[1:]) + 1, len(a))
+    end = after[np.searchsorted(after, start, side="right")]
+    return start[(end == len(a)) | (kind[np.minimum(end, len(a) - 1)] == 2)]
 
 
 _loaded: dict[str, WordIds] = {}
