@@ -64,6 +64,18 @@ class Schedule:
             out = F.when(share < F.lit(met[k]), F.lit(t) + step).otherwise(out)
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
 
+    def sql(self, share: str) -> str:
+        """time_of() for DuckDB."""
+        met, whole, num = self.integral(), self.scale(), lambda x: f"{x!r}::DOUBLE"
+        out = "1.0::DOUBLE"
+        for k in range(len(self.times) - 1, 0, -1):
+            t, w = self.times[k - 1], self.weights[k - 1]
+            slope = (self.weights[k] - w) / (self.times[k] - t)
+            need = f"(({share} - {num(met[k - 1])}) * {num(whole)})"
+            step = f"{need} / {num(w)}" if abs(slope) < 1e-12 else f"{need} * 2 / ({num(w)} + sqrt(greatest(0.0::DOUBLE, {num(w * w)} + {need} * {num(2 * slope)})))"
+            out = f"CASE WHEN {share} < {num(met[k])} THEN {num(t)} + {step} ELSE {out} END"
+        return f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {out}))"
+
 
 #: By place in the weight cycle: heavy sources fade, light ones rise towards the end.
 SCHEDULES = (Schedule((0.0, 1.0), (1.4, 0.6)), Schedule((0.0, 0.5, 1.0), (0.8, 1.2, 0.8)), Schedule((0.0, 1.0), (0.4, 1.6)))
@@ -117,8 +129,9 @@ def curriculum(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, wei
     the time in training of each of its copies."""
     spark = docs.sparkSession
     sized = sizes(docs)
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    bucket = F.pmod(order, F.lit(16 * common.partitions(spark)))
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    buckets = 16 * common.partitions(spark)
+    bucket = F.least(F.floor(order / F.lit((1 << 60) // buckets)), F.lit(buckets - 1))  # in hash order, like the documents in them
     sized = common.materialize(sized.withColumn("h", order).withColumn("bucket", bucket), "mixing-sizes")
     goal = targets(sized, weights, most, budget)
     below = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,11 +159,31 @@ def curriculum(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, wei
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: the mix of all documents, range-sorted by first position in training (not taken: last)."""
     found = curriculum(common.table(spark, sf_dir, "documents"))
-    first = F.get("positions", F.lit(0)).alias("first_position")
-    out = found.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", first, "positions")
+    first = F.round(F.get("positions", F.lit(0)), 9).alias("first_position")
+    out = found.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", F.size("positions").cast("long").alias("copies"), first)
     return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5(concat('7:', doc_id)), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][(rank % 3 + 1)::INT]::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap, (SELECT sum(source_size) FROM s)::DOUBLE AS total FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER p, 0) AS met, sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS rest FROM w
+  WINDOW p AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT coalesce(arg_min((total - met) / rest, cap / weight) FILTER (weight * ((total - met) / rest) <= cap), 0) AS level FROM o),
+t AS (SELECT source, source_size, rank, least(cap, weight * level) AS target FROM w, l),
+q AS (SELECT d.doc_id, d.source, size, source_size, target, rank, floor(target)::BIGINT AS goal,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes FROM q),
+x AS (SELECT *, greatest(0, least(size, goal - passes * source_size - off)) AS more FROM r),
+y AS (SELECT *, CASE WHEN size > 0 THEN passes + (more > 0)::INT ELSE 0 END::BIGINT AS copies, off / target AS share FROM x)
+SELECT doc_id, source, size, source_size, target, (passes * size + more)::BIGINT AS taken, copies,
+  CASE WHEN copies > 0 THEN round(CASE rank % 3 WHEN 0 THEN {SCHEDULES[0].sql("share")} WHEN 1 THEN {SCHEDULES[1].sql("share")} ELSE {SCHEDULES[2].sql("share")} END, 9) END AS first_position
+FROM y
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, range-sorted by position.
 

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_embeddings": embeddings.OP2_SQL,
+    "op4_mixing": mixing.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op6_substrings": substrings.OP6_SQL,
 }
