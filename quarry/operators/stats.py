@@ -34,15 +34,18 @@ def upper_median(rows: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 
 def dense_median(runs: DataFrame, run_id: str, counts: str) -> DataFrame:
-    """Median count of each map key over all runs, 0 where a run lacks it: name, median."""
-    each = runs.select(run_id, F.explode(counts).alias("name", "n"))
-    names = each.select("name").distinct()
-    total = runs.agg(F.count("*").alias("total"))
-    # a run without the key counts 0, so the median of n values and total - n zeros needs no run x key table
-    found = each.groupBy("name").agg(F.array_sort(F.collect_list(F.col("n").cast("double"))).alias("v")).join(total, how="cross")
-    at = lambda i: F.when(i < F.col("total") - F.size("v"), F.lit(0.0)).otherwise(F.get("v", (i - (F.col("total") - F.size("v"))).cast("int")))
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    return names.join(found.select("name", ((at(low) + at(high)) / 2).alias("median")), "name")
+    """Median count of each map key over all runs, 0 where a run lacks it: name, median.
+
+    A key's counts are taken as frequencies, and the runs without it as a frequency of 0, so
+    that no table of runs by keys is made and no key's counts are gathered.
+    """
+    each = runs.select(run_id, F.explode(counts).alias("name", "n")).groupBy("name", "n").agg(F.count("*").alias("c"))
+    total = runs.agg(F.count("*").alias("total")).first()["total"]
+    lacking = each.groupBy("name").agg((F.lit(total) - F.sum("c")).alias("c")).where("c > 0").select("name", F.lit(0).alias("n"), "c")
+    table = each.union(lacking).groupBy("name", "n").agg(F.sum("c").alias("c"))
+    up_to = F.sum("c").over(Window.partitionBy("name").orderBy("n"))
+    at = lambda place: F.min(F.when(F.col("up_to") > place, F.col("n")))
+    return table.withColumn("up_to", up_to).groupBy("name").agg(((at((total - 1) // 2) + at(total // 2)) / 2.0).cast("double").alias("median"))
 
 
 def cost_per_correct(runs: DataFrame, keys: list[str], correct: str, cost: str) -> DataFrame:
