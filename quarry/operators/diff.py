@@ -95,6 +95,20 @@ def fuzzy_pairs(old: DataFrame, new: DataFrame, least: float = LIKE) -> DataFram
     return scored.join(chosen, (F.col("old.id") == F.col("a")) & (F.col("new.id") == F.col("b"))).select("old", "new", "score")
 
 
+def similar_texts(items: DataFrame, ratio: float = LIKE, least: float = 0.0) -> DataFrame:
+    """(a, b, score): Sorensen-Dice of all pairs of items (id, text) that share a character pair and have lengths within the ratio.
+
+    Pairs meet on the character pairs that they share, so that unlike texts are never compared.
+    """
+    grams = items.select("id", F.explode(T.bigrams(F.col("text"))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
+    x, y = grams.select(F.col("id").alias("a"), "g", F.col("n").alias("na")), grams.select(F.col("id").alias("b"), "g", F.col("n").alias("nb"))
+    shared = x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("shared"))
+    size = items.select("id", F.octet_length("text").alias("bytes"), F.size(T.bigrams(F.col("text"))).alias("total"))
+    of = lambda c: size.select(F.col("id").alias(c), F.col("bytes").alias(f"{c}_bytes"), F.col("total").alias(f"{c}_total"))
+    pairs = shared.join(of("a"), "a").join(of("b"), "b").where(F.least("a_bytes", "b_bytes") >= ratio * F.greatest("a_bytes", "b_bytes"))
+    return pairs.select("a", "b", (2.0 * F.col("shared") / (F.col("a_total") + F.col("b_total"))).alias("score")).where(F.col("score") >= least)
+
+
 def moves(changes: DataFrame) -> DataFrame:
     """A symbol deleted in one file and added in another, each once for its kind and name, is moved; both rows name the file it left."""
     key = ["kind", "name"]

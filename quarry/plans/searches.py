@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, rules
 from ..functions import text as T
+from ..operators import diff
 from ..operators import search as S
 from . import corpus as C
 
@@ -166,10 +167,8 @@ EXCEPT SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) FROM doc
 
 def fuzzy_pairs_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of benchmark items by first words."""
-    b = C.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("t"))
-    x, y = b.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), b.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
-    near = x.join(y, (F.col("a") < F.col("b")) & (F.least(F.octet_length("ta"), F.octet_length("tb")) >= 0.8 * F.greatest(F.octet_length("ta"), F.octet_length("tb"))))
-    return near.select("a", "b", F.round(T.dice(T.bigrams(F.col("ta")), T.bigrams(F.col("tb"))), 6).alias("score"))
+    items = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("text"))
+    return diff.similar_texts(items).select("a", "b", F.round("score", 6).alias("score"))
 
 
 FUZZY_PAIRS_DICE = r"""WITH b AS (SELECT item_id, substr(text, 1, 60) AS t FROM benchmark), s AS (SELECT item_id, t, regexp_replace(t, '\s+', '', 'g') AS s FROM b),
@@ -177,7 +176,7 @@ g AS (SELECT item_id, substr(s, i, 2) AS g, count(*) AS n FROM s, LATERAL (SELEC
 p AS (SELECT x.item_id AS a, y.item_id AS b, length(x.s) - 1 + length(y.s) - 1 AS total FROM s x JOIN s y ON x.item_id < y.item_id
   WHERE least(octet_length(encode(x.t)), octet_length(encode(y.t))) >= 0.8 * greatest(octet_length(encode(x.t)), octet_length(encode(y.t)))),
 c AS (SELECT x.item_id AS a, y.item_id AS b, sum(least(x.n, y.n)) AS shared FROM g x JOIN g y ON x.g = y.g AND x.item_id < y.item_id GROUP BY 1, 2)
-SELECT a, b, round((2.0 * coalesce(shared, 0) / total)::DOUBLE, 6) AS score FROM p LEFT JOIN c USING (a, b)"""
+SELECT a, b, round((2.0 * shared / total)::DOUBLE, 6) AS score FROM p JOIN c USING (a, b)"""
 
 
 def grading(spark: SparkSession, sf_dir: str) -> DataFrame:
