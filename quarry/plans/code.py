@@ -140,7 +140,7 @@ SELECT dir, sum(tokens)::BIGINT AS total, count(*) AS files FROM t GROUP BY dir
 
 def structural_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files against a state in which some functions have other names, bodies or signatures, and some files are gone."""
-    old = files(spark, sf_dir).where("doc_id < 300")
+    old = files(spark, sf_dir)
     i = F.col("doc_id")
     f = F.concat(F.lit("f"), i.cast("string"), F.lit("(x"))
     new = old.where("doc_id % 10 <> 9").withColumn("text", F.when(i % 10 == 1, F.replace("text", f, F.concat(F.lit("q"), i.cast("string"), F.lit("(x")))).when((i % 10 == 3) & (i % 3 == 0), F.replace("text", F.lit("return x\n"), F.lit("return x + 1\n"))).otherwise(F.col("text")))
