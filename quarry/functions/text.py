@@ -40,10 +40,9 @@ def age_label(seconds: Column) -> Column:
 
 def bytes_of(text: Column) -> Column:
     """UTF-8 bytes as an array of int."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
-    n = F.octet_length(text)
-    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<long>"))
+    chars = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")  # one for each byte, in one pass
+    each = F.transform(chars, lambda c: F.ascii(c).cast("long"))
+    return F.when(F.octet_length(text) > 0, each).otherwise(F.array().cast("array<long>"))
 
 
 def fnv12(text: Column) -> Column:
@@ -54,7 +53,12 @@ def fnv12(text: Column) -> Column:
 
 def anchor(line: Column, text: Column) -> Column:
     """line:hash as an edit anchor."""
-    return F.concat(line.cast("string"), F.lit(":"), F.lpad(F.lower(F.hex(fnv12(text))), 3, "0"))
+    return anchor_of(line, fnv12(text))
+
+
+def anchor_of(line: Column, hashed: Column) -> Column:
+    """The same from a line's hash."""
+    return F.concat(line.cast("string"), F.lit(":"), F.lpad(F.lower(F.hex(hashed)), 3, "0"))
 
 
 def quoted(q: str) -> str:

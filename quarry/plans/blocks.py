@@ -122,8 +122,8 @@ SELECT doc_id, CASE WHEN t < 1000 THEN concat('~', t) ELSE concat('~', t // 1000
 
 
 def fnv_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.lines(spark, sf_dir).where(F.length("text") <= 60)
-    return rows.select("path", "line", T.fnv12(F.col("text")).alias("hash"), T.anchor(F.col("line"), F.col("text")).alias("anchor"))
+    rows = C.lines(spark, sf_dir).select("path", "line", T.fnv12(F.col("text")).alias("hash"))
+    return rows.withColumn("anchor", T.anchor_of(F.col("line"), F.col("hash")))
 
 
 FNV_LINE_HASH = f"""WITH {C.LINES_SQL}, s AS (SELECT path, line, text, hex(encode(text)) AS h FROM lines WHERE length(text) <= 60),

@@ -13,3 +13,17 @@ def test_structural_diff_compares_every_file(spark, tmp_path):
     }
     got = {r["change"]: r["n"] for r in catalog.QUERIES["structural_diff"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def fnv12(text):
+    h = 2166136261
+    for b in text.encode():
+        h = (h ^ b) * 16777619 & 0xFFFFFFFF
+    return h & 4095
+
+
+def test_fnv_line_hash_covers_long_lines(spark, tmp_path):
+    lines = ["short", "", "x" * 60, "y" * 61, "é€😀\0\x7f\x80ÿ " * 50, "Zeile mit Wörtern " * 8000]
+    spark.createDataFrame([(5, "\n".join(lines) + "\n", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["line"]: (r["hash"], r["anchor"]) for r in catalog.QUERIES["fnv_line_hash"](spark, str(tmp_path)).collect()}
+    assert got == {n: (fnv12(t), f"{n}:{fnv12(t):03x}") for n, t in enumerate(lines, 1)}
