@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -95,18 +98,31 @@ def fuzzy_pairs(old: DataFrame, new: DataFrame, least: float = LIKE) -> DataFram
     return scored.join(chosen, (F.col("old.id") == F.col("a")) & (F.col("new.id") == F.col("b"))).select("old", "new", "score")
 
 
-def similar_texts(items: DataFrame, ratio: float = LIKE, least: float = 0.0) -> DataFrame:
-    """(a, b, score): Sorensen-Dice of all pairs of items (id, text) that share a character pair and have lengths within the ratio.
+def pair_counts(text: str) -> tuple[Counter, int]:
+    """Character pairs with their counts, and how many there are; as T.bigrams."""
+    s = re.sub(r"\s+", "", text, flags=re.ASCII)
+    return Counter(map("".join, pairwise(s))), max(0, len(s) - 1)
 
-    Pairs meet on the character pairs that they share, so that unlike texts are never compared.
-    """
-    grams = items.select("id", F.explode(T.bigrams(F.col("text"))).alias("g")).groupBy("id", "g").agg(F.count("*").alias("n"))
-    x, y = grams.select(F.col("id").alias("a"), "g", F.col("n").alias("na")), grams.select(F.col("id").alias("b"), "g", F.col("n").alias("nb"))
-    shared = x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("shared"))
-    size = items.select("id", F.octet_length("text").alias("bytes"), F.size(T.bigrams(F.col("text"))).alias("total"))
-    of = lambda c: size.select(F.col("id").alias(c), F.col("bytes").alias(f"{c}_bytes"), F.col("total").alias(f"{c}_total"))
-    pairs = shared.join(of("a"), "a").join(of("b"), "b").where(F.least("a_bytes", "b_bytes") >= ratio * F.greatest("a_bytes", "b_bytes"))
-    return pairs.select("a", "b", (2.0 * F.col("shared") / (F.col("a_total") + F.col("b_total"))).alias("score")).where(F.col("score") >= least)
+
+def similar_texts(old: DataFrame, new: DataFrame, ratio: float = LIKE) -> DataFrame:
+    """(a, b, score): Sorensen-Dice of all pairs of an old and a new item (id, text) whose lengths are within the ratio, pairs without a shared character pair too."""
+    x, y = old.select(F.col("id").alias("a"), F.col("text").alias("ta")), new.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    la, lb = F.octet_length("ta"), F.octet_length("tb")
+    near = x.join(y, F.least(la, lb) >= ratio * F.greatest(la, lb))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = lru_cache(4096)(pair_counts)
+        for frame in frames:
+            scores = []
+            for ta, tb in zip(frame["ta"], frame["tb"], strict=True):
+                (ca, na), (cb, nb) = counts(ta), counts(tb)
+                if len(cb) < len(ca):
+                    ca, cb = cb, ca
+                shared = sum(min(n, cb[g]) for g, n in ca.items() if g in cb)
+                scores.append(2.0 * shared / (na + nb) if na + nb else 1.0)
+            yield frame[["a", "b"]].assign(score=scores)
+
+    return near.mapInPandas(run, "a long, b long, score double")
 
 
 def moves(changes: DataFrame) -> DataFrame:

@@ -166,9 +166,10 @@ EXCEPT SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) FROM doc
 
 
 def fuzzy_pairs_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of benchmark items by first words."""
-    items = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("text"))
-    return diff.similar_texts(items).select("a", "b", F.round("score", 6).alias("score"))
+    """Similarity of benchmark items and documents of like length, by whole texts; items have no language, so documents of every language count."""
+    items = C.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    documents = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return diff.similar_texts(items, documents).select("a", "b", F.round("score", 6).alias("score"))
 
 
 FUZZY_PAIRS_DICE = r"""WITH b AS (SELECT item_id, substr(text, 1, 60) AS t FROM benchmark), s AS (SELECT item_id, t, regexp_replace(t, '\s+', '', 'g') AS s FROM b),

@@ -27,3 +27,27 @@ def test_fnv_line_hash_covers_long_lines(spark, tmp_path):
     spark.createDataFrame([(5, "\n".join(lines) + "\n", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["line"]: (r["hash"], r["anchor"]) for r in catalog.QUERIES["fnv_line_hash"](spark, str(tmp_path)).collect()}
     assert got == {n: (fnv12(t), f"{n}:{fnv12(t):03x}") for n, t in enumerate(lines, 1)}
+
+
+def dice(a, b):
+    pairs = lambda t: [s[i : i + 2] for s in ["".join(t.split())] for i in range(len(s) - 1)]
+    x, y = pairs(a), pairs(b)
+    rest, shared = list(y), 0
+    for g in x:
+        if g in rest:
+            rest.remove(g)
+            shared += 1
+    return round(2 * shared / (len(x) + len(y)), 6)
+
+
+def test_fuzzy_pairs_dice_scores_whole_texts(spark, tmp_path):
+    head = "The same first words begin every text of this small fixture, "
+    items = {1: head + "and then it goes on about rivers.", 2: head + "but here come ships and harbours!", 3: "0123456789" * 9}
+    docs = {10: head + "and then it goes on about rivers.", 11: head + "wobei hier Schiffe, Häfen kommen.", 12: "abcdefgh " * 10, 13: head}
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    size = lambda t: len(t.encode())
+    want = {(i, d): dice(x, y) for i, x in items.items() for d, y in docs.items() if min(size(x), size(y)) >= 0.8 * max(size(x), size(y))}
+    assert want[1, 10] == 1 and want[3, 12] == 0
+    got = {(r["a"], r["b"]): r["score"] for r in catalog.QUERIES["fuzzy_pairs_dice"](spark, str(tmp_path)).collect()}
+    assert got == want
