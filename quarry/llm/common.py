@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share.  Where none is named, a session in one process (tests) gets a
+    temporary one; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,12 +59,10 @@ def drop(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files that no plan refers to any more.
 
-    The cleaner works behind the collector: what one round unlinks, the next one finds.
+    The cleaner works by itself behind the collector, so nothing is waited for.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

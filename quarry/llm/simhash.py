@@ -1,26 +1,28 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 A document's fingerprint has 64 bits.  Two fingerprints link when at most ``radius`` bits
-differ.  Candidates meet in buckets: the 64 bits are cut into radius + 2 blocks and a
-bucket holds the fingerprints that agree on one pair of blocks, so that by the pigeonhole
-principle no link is lost.  Within buckets, bit planes are stored vertically: bit k of 64
+differ.  Candidates meet in buckets: the 64 bits are cut into b blocks and a bucket holds
+the fingerprints that agree on b - radius of them, so that by the pigeonhole principle no
+link is lost, whatever b is.  b grows with the logarithm of the number of fingerprints
+(``blocks_for``), which keeps buckets of chance small.  Within buckets, bit planes are stored vertically: bit k of 64
 fingerprints is one machine word.  For a lag d, the plane XORed with itself shifted by d
 gives bit k of 64 differences at once; carry-save counters add them up, and a word is
 abandoned when all of its 64 pairs exceed the radius.
 
 Equal fingerprints are one representative (the smallest doc_id) before anything is
 compared.  A bucket of more than ``block`` fingerprints is split into blocks, and every
-pair of blocks is a task unit of its own, so that no task holds an unbounded bucket.  A unit
-returns a spanning forest of its links, never all pairs.
+pair of blocks is a task unit of its own (which compares across the two blocks only), so that
+no task holds an unbounded bucket.  A unit returns a spanning forest of its links, never all pairs.
 
 Defined results: null text counts as empty (fingerprint zero, linked like any other);
-repeated rows are returned as often as they came; a null doc_id is returned with its
-fingerprint and the component of its class, and never names a component; an empty table
-gives no rows; other columns are ignored.
+repeated rows are returned as often as they came; a row with a null doc_id links like any
+other and never names a component, so that a class of such rows alone has a null component;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -57,16 +59,21 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def marks(rows: DataFrame, width: int = 4) -> DataFrame:
+    """(doc_id, h, fp) of rows (doc_id, text, _h): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
+            texts = batch.column(2).cast(pa.large_binary())
             found = np.fromiter((fingerprint(t.as_py() or b"", width) for t in texts), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "h", "fp"])
+
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_h").alias("h"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, h long, fp long")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """(doc_id, fp) of every row of docs."""
+    return marks(docs.select("doc_id", "text", F.lit(0).cast("long").alias("_h")), width).drop("h")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -127,8 +134,11 @@ def close_at(plane: np.ndarray, valid: np.ndarray, lag: int, radius: int) -> np.
     return at[word] * 64 + bit
 
 
-def forest(values: np.ndarray, unit: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, root) of a spanning forest of the links among rows of the same unit; rows of a unit are adjacent."""
+def forest(values: np.ndarray, unit: np.ndarray, radius: int, half: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, root) of a spanning forest of the links among rows of the same unit; rows of a unit are adjacent.
+
+    half: rows of unlike half are compared, of like half only where it is 0.
+    """
     n, plane = len(values), planes(values)
     parent = np.arange(n)
     for lag in range(1, n):
@@ -136,6 +146,8 @@ def forest(values: np.ndarray, unit: np.ndarray, radius: int) -> tuple[np.ndarra
         valid[: n - lag] = unit[lag:] == unit[: n - lag]
         if not valid.any():
             break
+        if half is not None:
+            valid[: n - lag] &= (half[lag:] == 0) | (half[lag:] != half[: n - lag])
         i = close_at(plane, valid, lag, radius)
         j = i + lag
         new = parent[i] != parent[j]
@@ -153,17 +165,36 @@ def forest(values: np.ndarray, unit: np.ndarray, radius: int) -> tuple[np.ndarra
     return moved, parent[moved]
 
 
-def _keys(blocks: int) -> list[str]:
-    """SQL for the bucket of each pair of blocks."""
-    cut = np.linspace(0, BITS, blocks + 1).round().astype(int).tolist()
-    part = [f"(shiftrightunsigned(fp, {a}) & {(1 << b - a) - 1}L)" for a, b in zip(cut, cut[1:])]
-    return [f"(shiftleft({t}L, 40) | shiftleft({part[i]}, 20) | {part[j]})" for t, (i, j) in enumerate(combinations(range(blocks), 2))]
+def blocks_for(values: int, radius: int) -> int:
+    """Blocks to cut fingerprints into, so that about eight of so many fingerprints share a bucket by chance at most."""
+    blocks = radius + 2
+    while blocks < 16 and BITS * (blocks - radius) // blocks + 3 < values.bit_length():
+        blocks += 1
+    return blocks
 
 
-def link(values: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
-    """Edges (a, b) between representatives of values (fp, rep) that reach every link within the radius."""
+def _keys(blocks: int, radius: int) -> list[str]:
+    """SQL for the bucket of each choice of blocks that have to agree."""
+    cut = np.linspace(0, BITS, blocks + 1).round().astype(int).tolist()
+    agree = blocks - radius
+    out = []
+    for t, chosen in enumerate(combinations(range(blocks), agree)):
+        key, width = f"{t}L", 0
+        for i in chosen:
+            n = cut[i + 1] - cut[i]
+            width += n
+            key = f"(shiftleft({key}, {n}) | (shiftrightunsigned(fp, {cut[i]}) & {(1 << n) - 1}L))"
+        if width + math.comb(blocks, agree).bit_length() > 63:
+            raise ValueError("a bucket's key has no room in 63 bits")
+        out.append(key)
+    return out
+
+
+def link(values: DataFrame, radius: int = 4, block: int = 2048, blocks: int | None = None) -> DataFrame:
+    """Edges (a, b) between values (fp, all distinct) that reach every link within the radius."""
     spark = values.sparkSession
-    spread = values.select(F.explode(F.expr(f"array({', '.join(_keys(radius + 2))})")).alias("k"), "fp", "rep")
+    blocks = blocks or blocks_for(values.count(), radius)
+    spread = values.select(F.explode(F.expr(f"array({', '.join(_keys(blocks, radius))})")).alias("k"), "fp")
     counts = common.materialize(spread.groupBy("k").agg(F.count("*").alias("c")).where("c > 1"), "simhash-buckets")
     parts = F.ceil(F.col("c") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp"), parts).cast("int")
@@ -171,43 +202,49 @@ def link(values: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
         spread.join(counts, "k")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("k", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp", "rep")
+        .select("k", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0).alias("half"), "fp")
     )
-    dealt = units.repartition(common.partitions(spark), "k", "x", "y").sortWithinPartitions("k", "x", "y", "fp")
+    dealt = units.repartition(common.partitions(spark), "k", "x", "y").sortWithinPartitions("k", "x", "y", "half", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(k, x, y, fp, rep):
+        def solved(k, x, y, half, fp):
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-            i, root = forest(fp.view(np.uint64), np.cumsum(new), radius)
-            return pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[root])], ["a", "b"])
+            i, root = forest(fp.view(np.uint64), np.cumsum(new), radius, half)
+            return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[root])], ["a", "b"])
 
         held: list[list[np.ndarray]] = []
         for batch in batches:
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             if sum(len(h[0]) for h in held) < CHUNK:
                 continue
-            k, x, y, fp, rep = (np.concatenate(c) for c in zip(*held, strict=True))
+            k, x, y, half, fp = (np.concatenate(c) for c in zip(*held, strict=True))
             last = (k == k[-1]) & (x == x[-1]) & (y == y[-1])
             cut = int(np.argmax(last))  # the last unit may go on in the next batch
             if cut:
-                yield solved(k[:cut], x[:cut], y[:cut], fp[:cut], rep[:cut])
-            held = [[c[cut:] for c in (k, x, y, fp, rep)]]
+                yield solved(k[:cut], x[:cut], y[:cut], half[:cut], fp[:cut])
+            held = [[c[cut:] for c in (k, x, y, half, fp)]]
         if held:
             yield solved(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def classes(values: DataFrame, radius: int = 4) -> DataFrame:
+    """(fp, class): the smallest fingerprint that each of values (fp, all distinct) reaches."""
+    found = common.components(link(values.select("fp"), radius), "simhash-cc")
+    out = values.select("fp").join(found, F.col("fp") == F.col("node"), "left")
+    return common.materialize(out.select("fp", F.coalesce("component", "fp").alias("class")), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id."""
     marked = common.materialize(fingerprints(docs, width), "simhash-fp")
     values = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-values")
-    edges = link(values.where("rep is not null"), radius)
-    found = common.components(edges, "simhash-cc")
-    classes = values.join(found, values["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    classes = common.materialize(classes, "simhash-classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    found = values.join(classes(values, radius), "fp")
+    names = found.groupBy("class").agg(F.min("rep").alias("component_id"))
+    named = common.materialize(found.join(names, "class").select("fp", "component_id"), "simhash-named")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,8 +254,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document that names its component stays, once (of rows with one doc_id, the first by text)."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.select("doc_id", "text", "lang", "source", "n_chars").join(found, "doc_id", "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    """Pipeline stage: one document of each class stays, the one with the smallest doc_id.
+
+    Rows without a doc_id come last, and of rows with one doc_id the one with the smallest hash of
+    its columns stays; rows that share a doc_id and aren't alike are documents of their own.
+    """
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = docs.select(*columns).withColumn("_h", F.xxhash64(*columns))
+    marked = common.materialize(marks(rows), "simhash-fp")
+    values = common.materialize(marked.select("fp").distinct(), "simhash-values")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = marked.join(classes(values), "fp").groupBy("class").agg(F.min(order).alias("first"))
+    first = common.materialize(first.select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_first")), "simhash-first")
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_first")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("n_chars"))  # of rows that are equal, one
+    return kept.withColumn("_nth", nth).where("_nth = 1").select(*columns)
