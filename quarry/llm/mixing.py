@@ -82,9 +82,10 @@ SCHEDULES = (Schedule((0.0, 1.0), (1.4, 0.6)), Schedule((0.0, 0.5, 1.0), (0.8, 1
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words of each text."""
+    """doc_id, source, size (words of each text), and content: a hash that tells rows with one doc_id apart."""
     words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(common.WORD)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.cast("long").alias("size"))
+    content = F.xxhash64(*(c for c in ("text", "lang", "n_chars") if c in docs.columns))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.cast("long").alias("size"), content.alias("content"))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -125,8 +126,8 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
 
 
 def curriculum(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, budget: float | None = None, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, and positions:
-    the time in training of each of its copies."""
+    """One row per document: doc_id, source, size, source_size, target, taken, positions (the time in
+    training of each of its copies), and content."""
     spark = docs.sparkSession
     sized = sizes(docs)
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
@@ -140,7 +141,7 @@ def curriculum(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, wei
     match = bases["source"].eqNullSafe(goal["source"])
     bases = bases.join(goal, match).select(bases["source"].alias("s"), F.col("bucket").alias("b"), "base", "source_size", "rank", "target")
     bases = common.materialize(bases, "mixing-bases")
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "content").rowsBetween(Window.unboundedPreceding, -1)
     found = sized.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     found = found.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     goal_words = F.floor("target")
@@ -153,7 +154,7 @@ def curriculum(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, wei
     starts = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: (k * F.col("source_size") + F.col("offset")) / F.col("target")))
     starts = F.coalesce(starts, F.array().cast("array<double>"))
     kinds = [F.when(F.pmod("rank", F.lit(len(schedules))) == k, F.transform(starts, s.time_of)) for k, s in enumerate(schedules)]
-    return found.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), F.coalesce(*kinds).alias("positions"))
+    return found.select("doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), F.coalesce(*kinds).alias("positions"), "content")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,22 +188,23 @@ FROM y
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, range-sorted by position.
 
+    Rows are told apart by doc_id, source and the hash of their other columns, so rows that share a
+    doc_id (or have none) are documents of their own, and equal rows are taken each for itself.
     The copy that a source's target ends in keeps its first words only (joined by one
     space, n_chars recounted); the rest of that copy isn't taken.
     """
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     found = curriculum(docs).where("taken > 0")
-    copies = found.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "taken", F.posexplode("positions").alias("copy", "position"))
+    copies = found.select("doc_id", "source", "content", "size", "taken", F.posexplode("positions").alias("copy", "position"))
     left = F.least("size", F.col("taken") - F.col("copy") * F.col("size"))
-    copies = copies.select("_id", "_source", "position", F.when(left < F.col("size"), left).cast("int").alias("_words"), "size", F.xxhash64("_id", "_source", "size").alias("_key"))
-    # rows that share doc_id and source are told apart by their size and counted once each
-    words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(common.WORD))).cast("long")
-    kept = docs.select("doc_id", "text", "lang", "source", "n_chars", words.alias("_size"))
-    kept = kept.withColumn("_key", F.xxhash64("doc_id", "source", "_size")).repartition(common.partitions(spark), "_key")
-    nth = Window.partitionBy("_key", "doc_id", "source", "_size").orderBy("text")
+    key = F.xxhash64("doc_id", "source", "content")
+    copies = copies.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("content").alias("_content"), "position", F.when(left < F.col("size"), left).cast("int").alias("_words"), key.alias("_other"))
+    kept = docs.withColumn("content", F.xxhash64("text", "lang", "n_chars")).withColumn("_key", key).repartition(common.partitions(spark), "_key")
+    nth = Window.partitionBy("_key", "doc_id", "source", "content").orderBy("n_chars")  # of rows that are equal, one
     kept = kept.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1")
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size"))
-    rows = kept.join(copies.withColumnRenamed("_key", "_other"), (F.col("_key") == F.col("_other")) & match)
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("content") == F.col("_content"))
+    rows = kept.join(copies, (F.col("_key") == F.col("_other")) & match)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(common.WORD), F.lit(0)), F.lit(1), F.col("_words")), " ")
     text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(cut)
     out = rows.withColumn("text", text).withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.orderBy("position", "doc_id").select("doc_id", "text", "lang", "source", "n_chars")
+    return out.orderBy("position", "doc_id", "content").select("doc_id", "text", "lang", "source", "n_chars")
