@@ -7,9 +7,10 @@ vectors of all its trigrams; a language's prototype bundles the normalized docum
 training rows.  A document gets the language whose prototype has the largest cosine.
 
 Letters are lower-cased; every run of other characters is one boundary symbol.  The whole
-text counts.  Training reads at most about ``FIT_ROWS`` labelled documents of each language,
-those with the smallest hashes; prototypes are summed before the shuffle, so that only one
-vector for each language and partition travels.
+text counts, in pieces that lose no trigram at their cuts.  Training reads at most about
+``FIT_ROWS`` labelled documents of each language, those with the smallest hashes; prototypes
+are summed before the shuffle, so that only one vector for each language and partition
+travels.  More than ``MOST_LANGUAGES`` values of lang are an error, as a model holds them all.
 
 Defined results: null text, empty text and text without a letter give ``und`` and score 0;
 without any labelled training row every document is ``und``; equal cosines go to the
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIMENSIONS, FIT_ROWS, SEED, UNKNOWN = 1024, 4_000, 5, "und"
-BLOCK_LETTERS, BLOCK_DOCS = 1 << 20, 256
+BLOCK_LETTERS, BLOCK_DOCS, MOST_LANGUAGES = 1 << 20, 256, 4_096
 
 
 @cache
@@ -99,8 +100,7 @@ class Space:
     def _block(self, texts: list[str], out: np.ndarray) -> None:
         gram, doc = [], []
         for k, text in enumerate(texts):
-            for piece in range(0, len(text), BLOCK_LETTERS):  # trigrams that cross a piece's end are in the overlap
-                g = trigrams(text[piece : piece + BLOCK_LETTERS + 2])
+            for g in trigrams(text, BLOCK_LETTERS):
                 g, n = np.unique(g, return_counts=True)
                 gram.append(g)
                 doc.append((k, n))
@@ -115,16 +115,19 @@ class Space:
             out += count[:, a : a + self.LIMIT // 4] @ self.vectors(known[a : a + self.LIMIT // 4].tolist())
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Codes of the trigrams of letters and boundaries; none if there is no letter."""
-    c = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-    if not c.any():
-        return np.zeros(0, np.int64)
-    c = np.concatenate([[0], c, [0]])
-    c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]
-    if len(c) < 3:
-        return np.zeros(0, np.int64)
-    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+def trigrams(text: str, piece: int) -> Iterator[np.ndarray]:
+    """Codes of the trigrams of letters and boundaries, for each piece of the text; none if there is no letter.
+
+    The last two symbols before a cut go on in the next piece, so pieces give what the whole text gives.
+    """
+    last = np.zeros(1, np.int64)  # the text's first boundary
+    for at in range(0, len(text), piece):
+        c = letters()[np.frombuffer(text[at : at + piece].encode("utf-32-le", "surrogatepass"), "<u4")]
+        c = np.concatenate([last, c, np.zeros(int(at + piece >= len(text)), np.int64)])
+        c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]
+        if len(c) >= 3:
+            yield c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+        last = c[-2:]
 
 
 _space: Space | None = None
@@ -151,7 +154,9 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> "Model":
     """Languages and their prototypes, from labelled documents that aren't held out."""
     labelled = docs.where(F.coalesce(~held_out(), F.lit(True)) & F.col("lang").isNotNull())
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(SEED), "doc_id").alias("h"))
-    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values; a model holds a vector for each")
     if not known:
         return [], np.zeros((0, DIMENSIONS))
     share = F.create_map(*(F.lit(x) for r in known for x in (r["lang"], min(1.0, rows / r["n"]))))
