@@ -1,13 +1,16 @@
 """Secret scan: fixed patterns and character Markov models.
 
-Patterns give the base spans.  Beside them, every run of token characters is scored by two
-first-order Markov models of characters, one of random strings and one of ordinary
-identifiers and words; where the log-likelihood ratio for a character exceeds a threshold,
-the run becomes a span of kind ``markov`` unless it touches a base span.
-
-The models are trained on labelled samples of bounded size: random strings from a seeded
-generator over the usual alphabets (label random), and the words that a hash chooses from
-the corpus, outside of base spans (label ordinary).  ``TRAIN_WORDS`` bounds the words.
+Patterns give the base spans.  Beside them, every run of token characters is scored by
+first-order Markov models of characters, of random strings and of ordinary
+identifiers and words; where the log-likelihood ratio exceeds a threshold in all and for a
+character, the run becomes a span of kind ``markov`` unless it touches a base span.  Random
+strings have a model for each alphabet, all equally likely beforehand.
+
+The models are trained on labelled samples of bounded size.  Ordinary: the words, outside of
+base spans, of the ``TRAIN_DOCS`` different documents of smallest hash, and identifiers made of
+them.  Random: strings from a seeded generator over the usual alphabets, and what base spans of
+those documents hold.  Workers count transitions; the driver gets their sums only, a number
+for each pair of characters.
 
 Defined results: null text is empty; offsets are code points, ends exclusive; empty text
 has no spans; repeated rows are returned as often as they came; an empty table gives no
@@ -19,7 +22,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +35,13 @@ ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole, so a shorter one can't hide a longer one
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PLAIN = re.compile(r"[A-Za-z0-9+/_=-]{3,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Bounded training sample, and the least evidence: nats a character, and in all.
-TRAIN_WORDS, TRAIN_DOCS, RANDOM_STRINGS, SEED = 50_000, 2_000, 20_000, 11
-PER_CHARACTER, IN_ALL = 0.9, 18.0
+TRAIN_DOCS, RANDOM_STRINGS, SEED = 2_000, 20_000, 11
+PER_CHARACTER, IN_ALL = 0.5, 12.0
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.full(128, -1, np.int64)
@@ -60,72 +64,90 @@ def codes(run: str) -> np.ndarray:
     return CODE[np.frombuffer(run.encode("ascii"), np.uint8)]
 
 
-def transitions(strings: list[str], weight: float = 5.0) -> np.ndarray:
-    """Log-probabilities of the next character; the last row is the start.  Rare rows lean on how frequent characters are."""
+def counted(strings: Iterable[str]) -> np.ndarray:
+    """How often each character follows each other; the last row is the start."""
     n = len(ALPHABET)
     count = np.zeros((n + 1, n))
     for s in strings:
         c = codes(s)
         count[n, c[0]] += 1
         np.add.at(count, (c[:-1], c[1:]), 1)
+    return count
+
+
+def likelihoods(count: np.ndarray, weight: float = 5.0) -> np.ndarray:
+    """Log-probabilities of the next character.  Rare rows lean on how frequent characters are."""
     single = count.sum(0) + 0.5
-    count += weight * single / single.sum()
+    count = count + weight * single / single.sum()
     return np.log(count / count.sum(1, keepdims=True))
 
 
-def random_strings(n: int = RANDOM_STRINGS, seed: int = SEED) -> list[str]:
-    """Labelled sample of random strings: hexadecimal, base 32, base 36, base 62 and base 64."""
+def random_strings(n: int = RANDOM_STRINGS, seed: int = SEED) -> list[list[str]]:
+    """Labelled samples of random strings: hexadecimal, base 32, base 36, base 62 and base 64, a list for each alphabet."""
     draw = random.Random(seed)
     digits, upper, lower = "0123456789", ALPHABET[:26], ALPHABET[26:52]
     kinds = (digits + "abcdef", upper + "234567", digits + lower, upper + digits, digits + upper + lower, digits + upper + lower + "+/", digits + upper + lower + "-_")
-    return ["".join(draw.choices(kinds[k % len(kinds)], k=draw.randint(16, 64))) for k in range(n)]
-
-
-def ordinary_words(docs: DataFrame, words: int = TRAIN_WORDS, sample: int = TRAIN_DOCS) -> list[str]:
-    """Labelled sample of ordinary text: runs of token characters outside of base spans with few digits, at
-    most ``words`` of them, from the ``sample`` documents of smallest hash."""
-    marked = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(SEED), "doc_id").alias("h"))
-    last = marked.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    return [["".join(draw.choices(kind, k=draw.randint(16, 64))) for _ in range(n // len(kinds))] for kind in kinds]
+
+
+def labelled(text: str) -> tuple[list[str], list[str]]:
+    """(ordinary, random): words outside of base spans with few digits, with identifiers made of them; what base spans hold."""
+    words, secret, at = [], [], 0
+    for a, b, _ in [*base_spans(text), (len(text), len(text), "")]:
+        words += [w for w in PLAIN.findall(text[at:a]) if sum(c.isdigit() for c in w) * 6 < len(w)]
+        secret += RUN.findall(text[a:b])
+        at = max(at, b)
+    made = [w.upper() for w in words[::4]]
+    made += [w.capitalize() + v.capitalize() for w, v in zip(words[1::8], words[2::8], strict=False)]
+    made += [f"{w}_{v}{k % 10}" for k, (w, v) in enumerate(zip(words[3::8], words[5::8], strict=False))]
+    return words + made, secret
+
+
+def trained(docs: DataFrame, sample: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Transition counts of ordinary and of random strings in the sample of documents."""
+    marked = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"))
+    last = marked.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    out = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET)))
     if last is None:
-        return []
+        return out[0], out[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(out)
         for batch in batches:
-            out: list[str] = []
             for value in batch.column(0):
-                text = value.as_py() or ""
-                at = 0
-                for a, b, _ in [*base_spans(text), (len(text), len(text), "")]:
-                    out += [w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,}", text[at:a]) if sum(c.isdigit() for c in w) * 6 < len(w)]
-                    at = max(at, b)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["w"])
+                for k, strings in enumerate(labelled(value.as_py() or "")):
+                    total[k] += counted(strings)
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(total.ravel()[place])], ["place", "n"])
 
-    found = marked.where(F.col("h") <= last).select("text").mapInArrow(run, "w string")
-    rows = found.orderBy(F.xxhash64(F.lit(SEED), "w"), "w").limit(words).collect()
-    out = [r["w"] for r in rows]
-    random.Random(SEED).shuffle(out)
-    # ordinary identifiers also come in capitals, joined by _ or -, and numbered
-    return out + [w.upper() for w in out[::4]] + [w.capitalize() + v.capitalize() for w, v in zip(out[1::8], out[2::8], strict=False)] + [f"{w}_{v}{k % 10}" for k, (w, v) in enumerate(zip(out[3::8], out[5::8], strict=False))]
+    found = marked.where(F.col("h") <= last).select("text").mapInArrow(run, "place int, n double").groupBy("place").agg(F.sum("n").alias("n"))
+    for r in found.collect():  # a number for each pair of characters
+        out.ravel()[r["place"]] = r["n"]
+    return out[0], out[1]
 
 
 def ratio(docs: DataFrame) -> np.ndarray:
-    """Log-likelihood ratio of each transition: random against ordinary."""
-    ordinary = ordinary_words(docs)
-    if not ordinary:
-        return np.full((len(ALPHABET) + 1, len(ALPHABET)), -1.0)
-    return transitions(random_strings()) - transitions(ordinary)
+    """Log-likelihood ratio of each transition: random, by alphabet, against ordinary."""
+    ordinary, found = trained(docs)
+    if not ordinary.any():
+        return np.full((1, len(ALPHABET) + 1, len(ALPHABET)), -1.0)
+    models = [counted(strings) for strings in random_strings()] + [found] * bool(found.any())
+    return np.stack([likelihoods(c) for c in models]) - likelihoods(ordinary)
+
+
+def score(run: str, table: np.ndarray) -> float:
+    """Log-likelihood ratio of a run: a string of any alphabet, all equally likely, against an ordinary one."""
+    c = codes(run)
+    return float(np.logaddexp.reduce(table[:, len(ALPHABET), c[0]] + table[:, c[:-1], c[1:]].sum(1)) - math.log(len(table)))
 
 
 def markov_spans(text: str, table: np.ndarray, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out = []
-    n = len(ALPHABET)
     for m in RUN.finditer(text):
         a, b = m.span()
-        if m[0].isdigit():  # a long number is no secret by its characters
+        if m[0].isdigit() or any(s < b and a < e for s, e, _ in taken):  # a long number is no secret by its characters
             continue
-        c = codes(m[0])
-        score = table[n, c[0]] + table[c[:-1], c[1:]].sum()
-        if score >= IN_ALL and score >= PER_CHARACTER * (b - a) and not any(s < b and a < e for s, e, _ in taken):
+        if score(m[0], table) >= max(IN_ALL, PER_CHARACTER * (b - a)):
             out.append((a, b, "markov"))
     return out
 
