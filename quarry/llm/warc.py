@@ -4,10 +4,13 @@ Write: payload digests are computed where the pages are read; headers alone (pag
 are shuffled by digest to find the smallest page of each payload.  That page's record is a
 response with the payload; the others are revisit records that refer to it and carry no
 payload.  Records are written through Spark's own writer, so any file system that Spark
-knows will do, gzip-compressed and in files of bounded size.
+knows will do.  Pages are dealt by hash to as many files as hold ``FILE_BYTES`` of headers and
+payloads each; only a record that is longer by itself makes a longer file.  Spark's writers
+compress a file as one gzip member, not each record, so a reader starts at a file's beginning.
 
-Read: whole files are parsed record by record by their Content-Length; revisit records are
-joined by payload digest to the responses that they refer to.
+Read: files are parsed record by record by their Content-Length, and payloads go on in batches
+of at most ``BATCH_BYTES`` (or one record); revisit records are joined by payload digest to the
+responses that they refer to.
 
 A payload shared by a third of all pages costs one header row for each page in the shuffle
 by digest; its minimum is combined before the shuffle, and the join's hot side can be split
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DATE, RECORDS_PER_FILE = "2024-01-01T00:00:00Z", 2_000
+DATE, FILE_BYTES, BATCH_BYTES, HEADER_BYTES = "2024-01-01T00:00:00Z", 32 << 20, 8 << 20, 500
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 LAST = 9223372036854775807  # stands for a null page_id in comparisons
@@ -54,9 +57,11 @@ def resolved(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = rows.withColumn("digest", base32(F.sha1("html")))
     heads = common.materialize(rows.select("page", "digest", "bytes").distinct(), "warc-heads")
     first = common.materialize(heads.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page").alias("original")), "warc-first")
-    heads = common.materialize(heads.join(first, "digest", "left").select("page", "digest", F.coalesce("original", "page").alias("original")), "warc-resolved")
+    heads = common.materialize(heads.join(first, "digest", "left").select("page", "digest", "bytes", F.coalesce("original", "page").alias("original")), "warc-resolved")
     # texts go by page and digest, which are as good as unique, never by digest
-    rows = rows.join(heads, ["page", "digest"])
+    total = heads.agg(F.sum(F.col("bytes") + HEADER_BYTES)).first()[0] or 0
+    files = max(-(-total // FILE_BYTES), common.partitions(rows.sparkSession))
+    rows = rows.repartition(files, "page", "digest").join(heads.drop("bytes").hint("merge"), ["page", "digest"])
     nth = F.row_number().over(Window.partitionBy("page", "digest").orderBy("url"))
     return rows.withColumn("nth", nth).withColumn("is_response", (F.col("original") == F.col("page")) & ((F.col("nth") == 1) | (F.col("bytes") < least)))
 
@@ -94,7 +99,7 @@ def records(rows: DataFrame) -> DataFrame:
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """Writes deduplicated archives of pages (page_id, url, html) to a folder."""
     out = records(resolved(pages, least))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    out.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -118,9 +123,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "record_type", "page_id", "payload_digest", "refers_to_id", "payload_bytes", "payload"]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        def made(rows: list[list]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        rows, held = [], 0
         for batch in batches:
             for data in batch.column(0):
-                rows = []
                 for head, block in parse(data.as_py()):
                     own = head["warc-record-id"].strip("<>")
                     page = own.split(":")[2]
@@ -129,8 +138,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         payload = block[block.index(b"\r\n\r\n") + 4 :]
                         row[3], row[5], row[6] = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload), payload
                     rows.append(row)
-                columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                    held += HEADER_BYTES + len(block)
+                    if held >= BATCH_BYTES:
+                        yield made(rows)
+                        rows, held = [], 0
+        yield made(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
     return files.select("content").mapInArrow(run, SCHEMA)
