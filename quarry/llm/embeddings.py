@@ -5,11 +5,14 @@
    that node instead of a node, so that thousands of copies are one node of the graph.
    Nodes and searches advance in batches, in lockstep.
 3. Every vector queries every shard for all nodes whose members it might link with (by the
-   triangle inequality of angles).  A beam that comes back full is widened for its query.
-   Before that, an audit measures recall in each task, with probes at the limiting angle
-   from known nodes and with queries against all nodes; the beam doubles until it passes.
+   triangle inequality of angles); its own node is always among them.  A beam that comes back
+   full is widened for its query.  Before that, an audit measures recall in each task, with
+   probes at the limiting angle from known nodes and with queries against all nodes; the beam
+   doubles until it passes.  The least recall of all tasks is logged.
 4. Candidates are verified by cosine in double precision; members are skipped only where
    the triangle inequality proves the link.
+   Queries come in blocks of ``QUERY_BYTES``, as many bytes as a shard's graph has at least, so
+   that graphs travel no more than vectors do; both travel in the precision of the table.
 5. Links are counted; for the components each query gives one edge for each node it links
    with, which is enough because a node's members link with the node.
 
@@ -22,6 +25,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import pickle
 from collections.abc import Iterator
 
@@ -32,8 +36,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
+log = logging.getLogger(__name__)
+
 LEAST, JOIN = 0.95, 0.97
-SHARDS, SHARD_ROWS, QUERY_ROWS = 6, 100_000, 16_384
+SHARDS, SHARD_ROWS, QUERY_BYTES = 6, 100_000, 64 << 20
 NEIGHBOURS, BUILD_BEAM, BEAM, TOP_BEAM = 16, 48, 24, 4
 AUDIT, RECALL = 128, 0.999
 EXPAND, LOCKSTEP, BLOB = 4, 512, 4 << 20
@@ -208,23 +214,48 @@ def build(x: np.ndarray, seed: int = 3) -> tuple[Graph, np.ndarray, np.ndarray]:
 class Shard:
     """A shard's vectors and graph; members of a node in order of their angle to it."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.graph, self.row_of, node_of = build(x)
-        nodes = x[self.row_of]
+    def __init__(self, ids: np.ndarray, x: np.ndarray, uids: np.ndarray):
+        self.kind = x.dtype
+        x = unit(x.astype(np.float64))
+        self.graph, row_of, node_of = build(x)
+        nodes = x[row_of]
         angle = np.arccos(np.clip(np.einsum("kd,kd->k", x, nodes[node_of]), -1, 1))
-        angle[self.row_of] = 0
+        angle[row_of] = -1  # a node comes before its members
         order = np.lexsort((angle, node_of))
-        self.x, self.angle, self.ids = x[order], angle[order], ids[self.row_of]
+        angle[row_of] = 0
+        self.x, self.angle, self.ids = x[order], angle[order], ids[row_of]
         self.edge = np.searchsorted(node_of[order], np.arange(len(nodes) + 1))
         self.nodes = nodes
+        by_uid = np.argsort(uids)
+        self.uid, self.place = uids[by_uid], node_of[by_uid]
         # float32 vectors in the graph and copies within a build batch may put a member slightly farther than JOIN
         self.reach = float(angle.max(initial=0)) if len(angle) else 0.0
 
     def limit(self, least: float) -> float:
         return float(np.cos(min(np.pi, np.arccos(least) + self.reach))) - 1e-5
 
-    def audited_beam(self, q: np.ndarray, least: float) -> int:
-        """The beam at which probes at the limiting angle and queries find what they must."""
+    def __getstate__(self) -> dict:
+        """What can be derived again doesn't travel: vectors in the table's precision, edges as 32-bit numbers."""
+        layers = [x.astype(np.int32) for x in self.graph.layers]
+        return {"x": self.x.astype(self.kind), "layers": layers, "angle": self.angle, "ids": self.ids, "edge": self.edge, "uid": self.uid, "place": self.place, "kind": self.kind}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.x = unit(self.x.astype(np.float64))
+        self.nodes = self.x[self.edge[:-1]]
+        self.graph = Graph(self.x.shape[1])
+        self.graph.x, self.graph.layers = self.nodes.astype(np.float32), [x.astype(np.int64) for x in self.__dict__.pop("layers")]
+        self.reach = float(self.angle.max(initial=0))
+
+    def node_of(self, uids: np.ndarray) -> np.ndarray:
+        """The node of each row, -1 for rows of other shards."""
+        if not len(self.uid):
+            return np.full(len(uids), -1)
+        at = np.minimum(np.searchsorted(self.uid, uids), len(self.uid) - 1)
+        return np.where(self.uid[at] == uids, self.place[at], -1)
+
+    def audited_beam(self, q: np.ndarray, least: float) -> tuple[int, float]:
+        """The beam at which probes at the limiting angle and queries find what they must, and the recall there."""
         limit, n = self.limit(least), len(self.nodes)
         draw = np.random.default_rng(n)
         known = draw.permutation(n)[:AUDIT]
@@ -235,15 +266,16 @@ class Shard:
         probes = base * (limit + 1e-4) + side * np.sqrt(max(0.0, 1 - (limit + 1e-4) ** 2))
         probes = np.concatenate([probes, q]).astype(np.float32)
         truth = probes @ self.graph.x.T >= limit
-        beam = BEAM
+        beam, recall = BEAM, 1.0
         while beam < n:
             hit = np.zeros_like(truth)
             for row, (ids, _) in self.found(probes, beam, limit):
                 hit[row, ids] = True
-            if not truth.any() or (hit & truth).sum() >= RECALL * truth.sum():
+            recall = float((hit & truth).sum() / max(1, truth.sum())) if truth.any() else 1.0
+            if recall >= RECALL:
                 break
             beam *= 2
-        return min(beam, n)
+        return min(beam, n), recall if beam < n else 1.0
 
     def found(self, q: np.ndarray, beam: int, limit: float) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
         """The nodes within the limit of each query; a full beam is widened."""
@@ -257,16 +289,16 @@ class Shard:
                 yield int(todo[k]), (ids[k][near], cos[k][near])
             todo, beam = todo[full], beam * 4
 
-    def links(self, q: np.ndarray, audit: np.ndarray, least: float) -> tuple[np.ndarray, list[list[int]]]:
-        """For each query: how many of the shard's vectors it links with, and the ids of the nodes whose members they are."""
+    def links(self, q: np.ndarray, audit: np.ndarray, least: float, uids: np.ndarray) -> tuple[np.ndarray, list[list[int]], float]:
+        """For each query: how many of the shard's other vectors it links with, and the ids of the nodes whose members they are; the audited recall."""
         count, linked = np.zeros(len(q), np.int64), [[] for _ in range(len(q))]
         if not len(q):
-            return count, linked
-        q32 = q.astype(np.float32)
-        beam = self.audited_beam(q32[audit][:AUDIT], least)
+            return count, linked, 1.0
+        q32, own = q.astype(np.float32), self.node_of(uids)
+        beam, recall = self.audited_beam(q32[audit][:AUDIT], least)
         by_node: dict[int, list[int]] = {}
         for row, (ids, _) in self.found(q32, beam, self.limit(least)):
-            for node in ids.tolist():
+            for node in {*ids.tolist(), int(own[row])} - {-1}:
                 by_node.setdefault(node, []).append(row)
         theta = np.arccos(least)
         for node, rows in by_node.items():
@@ -283,56 +315,60 @@ class Shard:
                 count[part] += n
                 for r in part[n > 0].tolist():
                     linked[r].append(int(self.ids[node]))
-        return count, linked
+        return count - (own >= 0), linked, recall  # a vector links with itself
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by their largest component first, which keeps the norm of huge and tiny vectors finite."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors as they are in the table."""
     flat = column.combine_chunks()
-    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
 def near_duplicates(rows: DataFrame, least: float = LEAST, shards: int = SHARDS) -> DataFrame:
     """vec_id, n_links, component_id for every row of (vec_id, embedding)."""
     spark = rows.sparkSession
-    vector = F.col("embedding").cast("array<double>")
-    kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"), F.monotonically_increasing_id().alias("uid"))
-    # scaling by the largest component keeps the norm of huge and tiny vectors finite
+    kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.monotonically_increasing_id().alias("uid"))
+    if dict(kept.dtypes)["v"] != "array<float>":
+        kept = kept.withColumn("v", F.col("v").cast("array<double>"))
     top = F.array_max(F.transform("v", F.abs))
     good = F.col("v").isNotNull() & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & (top > 0)
-    kept = kept.withColumn("good", F.coalesce(good, F.lit(False)))
-    kept = kept.withColumn("v", F.when(F.col("good"), F.transform("v", lambda c: c / top)))
-    kept = common.materialize(kept, "vectors")
+    kept = common.materialize(kept.withColumn("good", F.coalesce(good, F.lit(False))), "vectors")
     known = kept.where("good").select("uid", F.coalesce("vec_id", F.lit(-(1 << 63))).alias("vec_id"), "v", F.size("v").alias("dim"))
-    total = known.count()
-    shards = max(shards, -(-total // SHARD_ROWS))
-    blocks = max(1, -(-total // QUERY_ROWS))
+    size = known.agg(F.count("*").alias("n"), F.sum(F.lit(4).cast("long") * F.col("dim")).alias("bytes")).first()
+    shards = max(shards, -(-size["n"] // SHARD_ROWS))
+    blocks = max(1, -(-(size["bytes"] or 0) // QUERY_BYTES))
     home = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
 
     def make(key: tuple, t: pa.Table) -> pa.Table:
-        data = pickle.dumps(Shard(t.column("vec_id").to_numpy(), _matrix(t.column("v"))), 5)
+        data = pickle.dumps(Shard(t.column("vec_id").to_numpy(), _matrix(t.column("v")), t.column("uid").to_numpy()), 5)
         parts = [data[k : k + BLOB] for k in range(0, len(data), BLOB)]
         return pa.table({"dim": pa.array([key[0].as_py()] * len(parts), pa.int32()), "shard": pa.array([key[1].as_py()] * len(parts), pa.int32()), "part": pa.array(range(len(parts)), pa.int32()), "data": pa.array(parts, pa.binary())})
 
     graphs = known.withColumn("shard", home).groupBy("dim", "shard").applyInArrow(make, "dim int, shard int, part int, data binary")
     graphs = common.materialize(graphs, "graphs")
     spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = known.withColumn("home", home).withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int"))
+    queries = known.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(blocks)).cast("int"))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def ask(key: tuple, graph: pa.Table, t: pa.Table) -> pa.Table:
         if graph.num_rows and t.num_rows:
             parts = sorted(zip(graph.column("part").to_pylist(), graph.column("data").to_pylist(), strict=True))
             shard = pickle.loads(b"".join(p for _, p in parts))
-            ids = t.column("vec_id").to_numpy()
-            count, linked = shard.links(_matrix(t.column("v")), np.flatnonzero(ids % 100 == 0), least)
-            count = count - (t.column("home").to_numpy() == t.column("shard").to_numpy())
+            audit = np.flatnonzero(t.column("vec_id").to_numpy() % 100 == 0)
+            count, linked, recall = shard.links(unit(_matrix(t.column("v")).astype(np.float64)), audit, least, t.column("uid").to_numpy())
         else:
-            count, linked = np.zeros(t.num_rows, np.int64), [[]] * t.num_rows
-        return pa.table({"uid": t.column("uid"), "vec_id": t.column("vec_id"), "n": pa.array(count, pa.int64()), "nodes": pa.array(linked, pa.list_(pa.int64()))})
+            count, linked, recall = np.zeros(t.num_rows, np.int64), [[]] * t.num_rows, 1.0
+        return pa.table({"uid": t.column("uid"), "vec_id": t.column("vec_id"), "n": pa.array(count, pa.int64()), "nodes": pa.array(linked, pa.list_(pa.int64())), "recall": pa.array(np.full(t.num_rows, recall))})
 
     pairs = spread.groupBy("dim", "shard", "block").cogroup(queries.groupBy("dim", "shard", "block"))
-    answers = common.materialize(pairs.applyInArrow(ask, "uid long, vec_id long, n long, nodes array<long>"), "answers")
+    answers = common.materialize(pairs.applyInArrow(ask, "uid long, vec_id long, n long, nodes array<long>, recall double"), "answers")
+    log.info("%d shards, %d blocks of queries, least recall of an audit %s", shards, blocks, answers.agg(F.min("recall")).first()[0])
     none = F.lit(-(1 << 63))
     edges = answers.select(F.col("vec_id").alias("a"), F.explode("nodes").alias("b")).where((F.col("a") != F.col("b")) & (F.col("a") != none) & (F.col("b") != none))
     found = common.components(edges.distinct(), "vector-cc")
@@ -344,7 +380,7 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, shards: int = SHARDS)
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: links and component of every vector."""
     found = near_duplicates(common.table(spark, sf_dir, "embeddings"))
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))  # a null vec_id is in no component
 
 
 OP2_SQL = """
