@@ -75,6 +75,11 @@ def keyed(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat(F.lit(key), inner), 256)
 
 
+def again(digest: Column, n: Column) -> Column:
+    """The n-th digest (64 hex digits) derived from one; the 0th is the digest itself."""
+    return F.when(n == 0, digest).otherwise(F.sha2(F.concat(digest, n.cast("string")), 256))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for each node that
     has an edge, component being the smallest node that it reaches.

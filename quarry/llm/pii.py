@@ -1,13 +1,18 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Entities are found by pattern and type.  Each is made of units (a person has a given name
-and a surname, any other entity is one unit in canonical form).  A unit's surrogate derives
-from a key, the unit's type and canonical form, and an attempt number; so equal entities
-get equal surrogates in every document, however they are written, and nobody without the
-key can tell which.  Surrogates keep type and format: separators and lengths of numbers,
-Luhn digits and issuer of cards, gender and script of names, reserved ranges elsewhere
-(e-mail domains under example.com, IPv4 from 240/4, area codes that begin with 0 or 1,
-SSN from 900).
+Entities are found by pattern and type.  Each is made of units (each part of a person's name,
+of which the last is the surname; any other entity is one unit in canonical form).  A unit's
+surrogate derives from a key, the unit's type and canonical form, and an attempt number; so
+equal entities get equal surrogates in every document, however they are written, and nobody
+without the key can tell which.  The key is ``KEY_SETTING`` of the session; ``TEST_KEY`` stands
+in where none is set, for tests only, and an empty key is an error.  Surrogates keep type and
+format: separators and lengths of numbers, Luhn digits and issuer of cards, the shape and script
+of an e-mail's local part, gender and script of names, reserved ranges elsewhere (e-mail domains
+under example.com, IPv4 from 240/4, area codes that begin with 0 or 1, SSN from 900).
+
+A name is found behind a title (with a gender, or without one: Dr., Prof.) or a phrase that
+introduces one.  Its parts may hold apostrophes, hyphens and inner capitals (O'Brien, Jean-Luc,
+McDonald); an initial stays as it is.
 
 Collision check: over the distinct units of all documents, no two units of a type may share
 a surrogate and no surrogate may be a real unit of the corpus.  All but the first of
@@ -31,20 +36,26 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEY, LITERAL, ATTEMPTS = "quarry-surrogates", 500, 64
+KEY_SETTING, TEST_KEY = "spark.quarry.surrogates.key", "quarry-surrogates"
+LITERAL, ATTEMPTS = 500, 64
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE = r"Mr\.|Mister|Herr|Monsieur|Señor|господин|г-н"
 FEMALE = r"Mrs\.|Ms\.|Frau|Madame|Mme|Señora|госпожа|г-жа"
+NEUTRAL = r"Dr\.|Prof\.|Mx\.|[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo"
+TITLE = rf"(?:{MALE}|{FEMALE}|{NEUTRAL}) ?"
+INITIAL = r"\p{Lu}\."
+PART = rf"(?:{INITIAL}|\p{{Lu}}\p{{L}}*(?:['’-](?!s(?!\p{{L}}))\p{{L}}+)*)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "ip": rf"(?<!\d)(?<!\d\.){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<!\d)(?<!\d[.-])\d{3}[.-]\d{3}[.-]\d{4}(?![.-]?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?<!\d[.-])[2-6]\d{3}(?:\d{9,15}|(?:[ -]\d{4}){3}|[ -]\d{6}[ -]\d{5})(?!\d)",
-    "person": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE}) ?\p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?",
+    "person": rf"(?<!\p{{L}}){TITLE}{PART}(?: {PART}){{0,3}}",
 }
 ENTITY = "|".join(PATTERNS.values())
-TITLES = [t.replace("\\.", ".") for t in f"{MALE}|{FEMALE}".split("|")]
+#: What a text with a name contains.
+TITLES = [t.replace("\\.", ".") for t in f"{MALE}|{FEMALE}".split("|")] + ["Dr.", "Prof.", "Mx.", "y name is", "ch heiße", "e m'appelle", "e llamo"]
 TYPES = list(PATTERNS)
 
 SYLLABLES = {
@@ -77,7 +88,12 @@ def script(s: Column) -> Column:
 
 
 def name_of(e: Column) -> Column:
-    return F.regexp_replace(e, rf"^(?:{MALE}|{FEMALE}) ?", "")
+    return F.regexp_replace(e, rf"^{TITLE}", "")
+
+
+def parts_of(e: Column) -> Column:
+    """The parts of a person's name, without initials."""
+    return F.filter(F.split(name_of(e), " "), lambda p: ~p.rlike(rf"^{INITIAL}$"))
 
 
 def unit(type_: Column, canon: Column) -> Column:
@@ -86,14 +102,13 @@ def unit(type_: Column, canon: Column) -> Column:
 
 def units(e: Column) -> Column:
     """The units of an entity; none for a number that is no card."""
-    k, name = kind(e), name_of(e)
-    first, last = F.substring_index(name, " ", 1), F.substring_index(name, " ", -1)
-    gender = F.when(e.rlike(rf"^(?:{FEMALE})"), "female").otherwise("male")
-    given = unit(F.concat_ws(":", F.lit("given"), gender, script(first)), F.lower(first))
-    surname = unit(F.concat_ws(":", F.lit("surname"), script(last)), F.lower(last))
+    k, parts = kind(e), parts_of(e)
+    gender = F.when(e.rlike(rf"^(?:{FEMALE})"), "female").when(e.rlike(rf"^(?:{MALE})"), "male").otherwise("any")
+    role = lambda i: F.when(i == F.size(parts) - 1, "surname").otherwise(F.concat(F.lit("given:"), gender))
+    named = F.transform(parts, lambda p, i: unit(F.concat_ws(":", role(i), script(p)), F.lower(p)))
     none = F.array().cast("array<struct<type:string,canon:string>>")
     return (
-        F.when(k == "person", F.when(F.contains(name, F.lit(" ")), F.array(given, surname)).otherwise(F.array(surname)))
+        F.when(k == "person", named)
         .when(k == "email", F.array(unit(k, F.lower(e)))).when(k == "ip", F.array(unit(k, e)))
         .when((k == "card") & (luhn(digits(e)) != 0), none)
         .otherwise(F.array(unit(k, F.concat(F.when(F.startswith(e, F.lit("+")), "+").otherwise(""), digits(e)))))
@@ -117,6 +132,20 @@ def _of(pool: Column, n: int):
     return lambda b: F.get(pool, b % n)
 
 
+def fresh_local(hex_: Column, local: Column, attempt: Column) -> Column:
+    """A local part of the same shape: letters of the same script, digits for digits, other characters as they are; longer from the eighth attempt on."""
+    letters = {"a": "abcdefghijklmnopqrstuvwxyz", "б": "абвгдежзиклмнопрстуфхцчшэюя", "β": "αβγδεζηθικλμνξοπρστυφχψω"}
+    pools = {k: F.array(*map(F.lit, v)) for k, v in letters.items()}
+
+    def fresh(c: Column, i: Column) -> Column:
+        b = byte(common.again(hex_, F.floor(i / 32)), (i % 32).cast("int"))
+        letter = lambda k: F.get(pools[k], b % len(letters[k]))
+        return F.when(c.rlike(r"\p{N}"), (b % 10).cast("string")).when(c.rlike(r"\p{IsCyrillic}"), letter("б")).when(c.rlike(r"\p{IsGreek}"), letter("β")).when(c.rlike(r"\p{L}"), letter("a")).otherwise(c)
+
+    shape = F.concat(local, F.when(attempt >= 8, F.lit("aaaa")).otherwise(""))
+    return F.array_join(F.transform(F.split(shape, ""), fresh), "")
+
+
 def fresh_name(hex_: Column, type_: Column, attempt: Column) -> Column:
     """Two to four syllables, longer from the eighth attempt on; an ending by gender."""
     out = None
@@ -137,7 +166,7 @@ def surrogate(key: str, type_: Column, canon: Column, attempt: Column) -> Column
     n = F.length(digits(canon))
     number = fresh_digits(hex_, n)
     domain = common.keyed(key, F.lit("domain"), F.substring_index(canon, "@", -1))
-    email = F.concat(fresh_letters(hex_, 0, 8), F.lit("."), fresh_digits(F.substr(hex_, F.lit(33)), F.lit(2)), F.lit("@"), fresh_letters(domain, 0, 6), F.lit(".example.com"))
+    email = F.concat(fresh_local(hex_, F.substring_index(canon, "@", 1), attempt), F.lit("@"), fresh_letters(domain, 0, 6), F.lit(".example.com"))
     ip = F.concat_ws(".", (240 + byte(hex_, F.lit(0)) % 15).cast("string"), *(byte(hex_, F.lit(i)).cast("string") for i in (1, 2, 3)))
     # the country code of a number that begins with + stays: one digit for +1, else two
     code = F.when(F.startswith(canon, F.lit("+1")), 1).when(F.startswith(canon, F.lit("+")), 2).otherwise(0)
@@ -158,9 +187,11 @@ def dressed(e: Column, new: Column) -> Column:
     gaps, number = F.split(e, r"\d", -1), digits(F.get(new, F.lit(0)))
     n = F.length(number)
     formatted = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get(gaps, i), F.substr(number, i + 1, F.lit(1)))), ""), F.get(gaps, n))
-    title = F.regexp_extract(e, rf"^(?:{MALE}|{FEMALE}) ?", 0)
+    title, parts = F.regexp_extract(e, rf"^{TITLE}", 0), F.split(name_of(e), " ")
+    before = lambda i: F.size(F.filter(F.slice(parts, 1, i), lambda p: ~p.rlike(rf"^{INITIAL}$")))
+    name = F.array_join(F.transform(parts, lambda p, i: F.when(p.rlike(rf"^{INITIAL}$"), p).otherwise(F.get(new, before(i)))), " ")
     return (
-        F.when(F.size(new) == 0, e).when(k == "person", F.concat(title, F.array_join(new, " ")))
+        F.when(F.size(new) == 0, e).when(k == "person", F.concat(title, name))
         .when(k.isin("email", "ip"), F.get(new, F.lit(0))).otherwise(formatted)
     )
 
@@ -171,7 +202,12 @@ def entities(text: Column) -> Column:
     return F.when(likely, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets; the test key where it sets none."""
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
+def attempts(docs: DataFrame, key: str) -> DataFrame:
     """(type, canon, attempt) of the units whose first surrogate collides."""
     found = docs.select(F.explode(F.array_distinct(entities(F.col("text")))).alias("e")).distinct()
     known = found.select(F.explode(units(F.col("e"))).alias("u")).select("u.*").distinct().withColumn("attempt", F.lit(0))
@@ -179,20 +215,23 @@ def attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
     for _ in range(ATTEMPTS):
         named = known.withColumn("new", surrogate(key, F.col("type"), F.col("canon"), F.col("attempt")))
         shared = named.groupBy("type", "new").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = named.join(shared, ["type", "new"]).where("canon <> first.canon").select("type", "canon")
-        real = named.alias("s").join(known.alias("r"), (F.col("s.type") == F.col("r.type")) & (F.lower("s.new") == F.col("r.canon"))).select("s.type", "s.canon")
+        again = named.join(shared.hint("merge"), ["type", "new"]).where("canon <> first.canon").select("type", "canon")
+        real = named.alias("s").join(known.hint("merge").alias("r"), (F.col("s.type") == F.col("r.type")) & (F.lower("s.new") == F.col("r.canon"))).select("s.type", "s.canon")
         lost = common.materialize(again.union(real).distinct().withColumn("lost", F.lit(1)), "pii-lost")
         if lost.isEmpty():
             break
-        known = known.join(lost, ["type", "canon"], "left").select("type", "canon", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))
+        known = known.join(lost.hint("merge"), ["type", "canon"], "left").select("type", "canon", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))
         known = common.materialize(known, "pii-units")
     else:
         raise RuntimeError("surrogates still collide; the format has too few values for its entities")
     return known.where("attempt > 0")
 
 
-def replaced(docs: DataFrame, carry: list[str], key: str = KEY, literal: int = LITERAL) -> DataFrame:
-    """The carried columns of docs, text with surrogates, and entities: those found."""
+def replaced(docs: DataFrame, carry: list[str], key: str | None = None, literal: int = LITERAL) -> DataFrame:
+    """The carried columns of docs, text with surrogates, and entities: those found.  key: the session's if None."""
+    key = session_key(docs.sparkSession) if key is None else key
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to a key; without one anybody can derive the surrogates")
     again = attempts(docs.select(F.col("text").cast("string").alias("text")), key)
     rows = docs.select(*[F.col(c).alias(f"_{c}") for c in carry], F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("entities", entities(F.col("text")))

@@ -458,6 +458,14 @@ def test_fingerprint_retry(spark, monkeypatch):
 PEOPLE = "Mail bob.42@Mail1.example.com or BOB.42@mail1.example.com. IP 10.2.3.4, tel +1 (578) 555-6437 4041894974608795 end +1-578-555-6437. Mr. John Smith met Frau Anna Müller; Mr. Smith, г-жа Анна Иванова, 123-45-6789, 4111 1111 1111 1111, 1234567890123456 v1.2.3.4.5 2021-01-02"
 
 
+def test_pii_stage(spark, docs):
+    kept = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    out = pii.stage(spark, docs, "")
+    assert out.columns == kept.columns and out.count() == kept.count()
+    assert sorted(map(str, out.where("doc_id IN (2, 3, 4, 7, 8)").collect())) == sorted(map(str, kept.where("doc_id IN (2, 3, 4, 7, 8)").collect()))
+    assert pii.stage(spark, empty(docs), "").count() == 0
+
+
 def test_pii(spark, docs):
     df = docs.select("doc_id", "text", "n_chars").union(spark.createDataFrame([(2000, PEOPLE, 1), (2001, "to bob.42@mail1.example.com$$$", 1)], "doc_id long, text string, n_chars long"))
     got = {r["doc_id"]: r for r in pii.replaced(df, ["doc_id"]).collect()}
@@ -479,6 +487,60 @@ def test_pii(spark, docs):
     assert got[7]["text"] is None and pii.replaced(empty(docs), ["doc_id"]).count() == 0
 
 
+NAMES = "Mr. Jean-Luc Picard met Mrs. O'Brien's Dr. Ada Marie McDonald, and my name is Paul J. Grün. Mx. Picard, Prof. Müller-Lüdenscheidt"
+
+
+def test_pii_names_and_shapes(spark):
+    mails = "ab.c-9+x@one.org иван7@почта.рф a@x.de b@x.de"
+    df = spark.createDataFrame([(1, NAMES), (2, mails), (3, "Prof. Picard " + "z" * 40 + ".y@long.org")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replaced(df, ["doc_id"]).collect()}
+    for part in ("Jean", "Luc", "Picard", "Brien", "Ada", "Marie", "Donald", "Paul", "Grün", "denscheidt"):
+        assert part not in got[1]
+    shape = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+)'s Dr\. (\w+) (\w+) (\w+), and my name is (\w+) J\. (\w+)\. Mx\. (\w+), Prof\. (\w+)", got[1])
+    assert shape and shape[2] == shape[9] and got[3].startswith(f"Prof. {shape[2]} ") and len(set(shape.groups())) == 9
+    assert re.fullmatch(r"[a-z]{2}\.[a-z]-\d\+[a-z]@[a-z]{6}\.example\.com [а-я]{4}\d@[a-z]{6}\.example\.com ([a-z])@([a-z]{6})\.example\.com ([a-z])@\2\.example\.com", got[2])
+    assert re.search(r" [a-z]{40}\.[a-z]@[a-z]{6}\.example\.com$", got[3])
+    other = {r["doc_id"]: r["text"] for r in pii.replaced(df, ["doc_id"], key="another").collect()}
+    assert all(other[i] != got[i] for i in got)
+    with pytest.raises(ValueError):
+        pii.replaced(df, ["doc_id"], key="")
+
+
+def found_by_rule(text):
+    """Entities of a text: an independent statement of the patterns, by Unicode-aware regular expressions."""
+    import regex
+
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    mail = regex.findall(r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@(?:[\p{L}\p{N}-]+\.)+[\p{L}\p{N}-]+", text)
+    ip = regex.findall(rf"(?<!\d)(?<!\d\.){octet}\.{octet}\.{octet}\.{octet}(?!\.?\d)", text, regex.ASCII)
+    ssn = regex.findall(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", text, regex.ASCII)
+    return Counter(mail), Counter(ip), Counter(ssn)
+
+
+def test_pii_documents(spark):
+    """Whole supplied documents: what is replaced, by an independent search; distinct entities stay distinct, and the rest of each text stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    new: dict = {}
+    for r in pii.replaced(docs, ["doc_id"]).collect():
+        old = text[r["doc_id"]]
+        mail, ip, ssn = found_by_rule(old)
+        own = Counter(r["entities"])
+        assert Counter(e for e in own.elements() if "@" in e) == mail
+        assert Counter(e for e in own.elements() if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", e)) == ip
+        assert Counter(e for e in own.elements() if re.fullmatch(r"\d{3}-\d{2}-\d{4}", e)) == ssn
+        gaps = re.split("|".join(map(re.escape, sorted(own, key=len, reverse=True))) or "(?!)", old)
+        at = 0
+        for k, gap in enumerate(gaps):
+            end = r["text"].index(gap, at) if k < len(gaps) - 1 else len(r["text"]) - len(gap)
+            assert r["text"][end : end + len(gap)] == gap
+            if k:
+                new.setdefault(r["entities"][k - 1], set()).add(r["text"][at:end])
+            at = end + len(gap)
+    mails = {e.lower(): s for e, s in new.items() if "@" in e}
+    assert mails and all(len(s) == 1 for s in mails.values()) and len({min(s) for s in mails.values()}) == len(mails)
+
+
 @pytest.mark.parametrize("literal", [500, 0])
 def test_pii_collisions(spark, monkeypatch, literal):
     """Surrogates from a space that is nearly too small: distinct entities stay distinct, by map and by join."""
