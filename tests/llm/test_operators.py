@@ -422,37 +422,105 @@ def paragraphs(text):
     return set(re.findall(f"{w}(?:[\x20\x09]+{w}){{0,5}}", text or ""))
 
 
+def cell_of(x, j, w):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(int(x & (1 << 64) - 1).to_bytes(8, "little"), 42)
+    place = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), h)
+    return (place - (1 << 64) * (place >> 63)) % w + w * j
+
+
+def proof_of(x):
+    import xxhash
+
+    return xxhash.xxh64_intdigest((7).to_bytes(4, "little"), xxhash.xxh64_intdigest(int(x & (1 << 64) - 1).to_bytes(8, "little"), 42)) >> 32
+
+
+def parsed(fingerprint):
+    """(width, {position: [count, digests, checks]}) of a returned fingerprint."""
+    w, _, cells = fingerprint.partition("/")
+    out = {}
+    for c in filter(None, cells.split(".")):
+        pos, n, x, p = (int(v, 16) for v in c.split(":"))
+        out[pos] = [n, x, p]
+    return int(w, 16), out
+
+
+def subtracted(a, b, w):
+    """Peels the difference of two sketches of one width: (only in a, only in b, what is left)."""
+    cells = {p: [*v] for p, v in a.items()}
+    for p, (n, x, c) in b.items():
+        v = cells.setdefault(p, [0, 0, 0])
+        v[0], v[1], v[2] = v[0] - n, v[1] ^ x, v[2] ^ c
+    only = (set(), set())
+    todo = list(cells)
+    while todo:
+        n, x, c = cells[todo.pop()]
+        if abs(n) != 1 or c != proof_of(x):
+            continue
+        only[n < 0].add(x)
+        for j in range(4):
+            v = cells[p := cell_of(x, j, w)]
+            v[0], v[1], v[2] = v[0] - n, v[1] ^ x, v[2] ^ c
+            todo.append(p)
+    return *only, sum(any(v) for v in cells.values())
+
+
 def test_fingerprints(docs, rows):
-    order = sorted(((d, t or "") for d, t, *_ in rows if d is not None), key=lambda r: r[0])
-    plain = docs.where("doc_id IS NOT NULL")
-    got = iblt.fingerprinted(plain).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r["doc_id"], []).append(r)
+    """Likeness by sets, and by peeling the returned fingerprints, of every row; null ids come first, rows with one id by their hash."""
+    import xxhash
+
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64) * (h >> 63)
+    digest = lambda t: {xxhash.xxh64_intdigest(p.encode(), 42) for p in paragraphs(t)}
+    order = sorted(((d, t or "") for d, t, *_ in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    got = iblt.fingerprinted(docs).collect()
     jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want, direct = Counter(), 0
     for i, (d, t) in enumerate(order):
-        if len(by[d]) > 1:
-            continue
         following = order[(i + 1) % len(order)][1]
         edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-        r = by[d][0]
-        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(r["near_edited"] - jaccard(paragraphs(t), paragraphs(edited))) < 1e-12
-        assert abs(r["near_next"] - jaccard(paragraphs(t), paragraphs(following))) < 1e-12
+        near = [round(jaccard(paragraphs(t), paragraphs(x)), 12) for x in (edited, following)]
+        want[(d, len(t), hashlib.sha256(edited.encode()).hexdigest(), *near)] += 1
+        r = next(r for r in got if r["doc_id"] == d and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest())
+        (w, a), (v, b) = parsed(r["fingerprint"]), parsed(r["edited_fingerprint"])
+        assert subtracted(a, {}, w) == (digest(t), set(), 0) and subtracted(b, {}, v) == (digest(edited), set(), 0)
+        if w == v:
+            only_a, only_b, left = subtracted(a, b, w)
+            assert left or abs((len(digest(t)) - len(only_a)) / max(1, len(digest(t) | digest(edited))) - (near[0] if digest(t) else 0)) < 1e-9
+            direct += not left
+    assert direct > len(rows) // 2
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 12), round(r["near_next"], 12)) for r in got) == want
     same = {}
     for r in got:
-        text = next(t for d, t in order if d == r["doc_id"])
-        assert same.setdefault(text, r["fingerprint"]) == r["fingerprint"]
-    assert len(set(same.values())) == len({frozenset(paragraphs(t)) for t in same})
-    assert iblt.fingerprinted(docs).count() == len(rows) and iblt.fingerprinted(empty(docs)).count() == 0
+        if r["doc_id"] is not None:
+            text = next(t for d, t in order if d == r["doc_id"])
+            assert same.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+    assert iblt.fingerprinted(empty(docs)).count() == 0
 
 
 def test_fingerprint_retry(spark, monkeypatch):
-    """Sketches that are far too small fail, are retried larger, and give the same."""
-    df = spark.createDataFrame([(i, "\n".join(words_of(i // 2, 40))) for i in range(12)], "doc_id long, text string")
-    want = sorted(tuple(r) for r in iblt.fingerprinted(df).collect())
-    monkeypatch.setattr(iblt, "CELLS", 0.2)
-    assert sorted(tuple(r) for r in iblt.fingerprinted(df).collect()) == want
+    """Sketches that are far too small fail, are retried larger, and give the same likeness."""
+    df = spark.createDataFrame([(i, "\n".join(words_of(i // 2, 400))) for i in range(12)], "doc_id long, text string")
+    near = lambda: sorted((r["doc_id"], r["near_edited"], r["near_next"]) for r in iblt.fingerprinted(df).collect())
+    want = near()
+    monkeypatch.setattr(iblt, "CELLS", 0.3)
+    assert near() == want
+
+
+def test_fingerprint_shared_ids(spark):
+    """A doc_id that most rows share is split between buckets, and neighbours stay right."""
+    rows = [(None if i % 3 else i, f"text {i % 50} of\nmany\n{i % 50 * 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    k = df.select(F.coalesce("doc_id", F.lit(iblt.FIRST)).alias("k"), F.xxhash64("text").alias("hash"))
+    bounds = iblt._bounds(k, 24)
+    assert len([b for b in bounds if b[0] == iblt.FIRST]) > 8 and bounds == sorted(set(bounds))
+    got = Counter((r["doc_id"], round(r["near_next"], 9)) for r in iblt.fingerprinted(df).collect())
+    import xxhash
+
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64) * (h >> 63)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])))
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    assert got == Counter((d, round(jaccard(paragraphs(t), paragraphs(order[(i + 1) % 400][1])), 9)) for i, (d, t) in enumerate(order))
 
 
 PEOPLE = "Mail bob.42@Mail1.example.com or BOB.42@mail1.example.com. IP 10.2.3.4, tel +1 (578) 555-6437 4041894974608795 end +1-578-555-6437. Mr. John Smith met Frau Anna Müller; Mr. Smith, г-жа Анна Иванова, 123-45-6789, 4111 1111 1111 1111, 1234567890123456 v1.2.3.4.5 2021-01-02"
