@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,10 +60,12 @@ def drop(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files that no plan refers to any more.
 
-    The cleaner works by itself behind the collector, so nothing is waited for.
+    The cleaner works behind the collector: what one round unlinks, the next one finds.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -73,7 +73,7 @@ def fingerprints(rows: DataFrame, sets: dict[str, str]) -> DataFrame:
     tagged = F.concat(*(F.transform(c, _tag(i, F.col(w))) for i, (c, w) in enumerate(sets.items())))
     each = rows.select("id", F.explode(tagged).alias("t")).select("id", "t.set", "t.w", F.explode(_added(F.col("t.x"), F.col("t.w"), F.lit(1))).alias("cell"))
     cells = each.select("id", "set", "cell.*").groupBy("id", "set", "pos").agg(F.sum("cnt").alias("cnt"), F.bit_xor("key").alias("key"), F.bit_xor("proof").alias("proof"))
-    text = F.concat_ws(":", *(F.lower(F.hex(c)) for c in ("pos", "cnt", "key", "proof")))
+    text = F.concat_ws(":", *(F.hex(c) for c in ("pos", "cnt", "key", "proof")))
     found = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("set", "pos", text.alias("cell")))).alias("cells"))
     return found.select("id", *(F.array_join(F.transform(F.filter("cells", _in(i)), lambda c: c["cell"]), ".").alias(name) for i, name in enumerate(sets)))
 
@@ -130,7 +130,11 @@ def likeness() -> Column:
 
 
 def _bounds(docs: DataFrame, buckets: int) -> list[tuple[int, int]]:
-    """The first (k, hash) of each range bucket: quantiles of k, and of the hash for a k that fills buckets of its own.  One pair for each bucket."""
+    """The first (k, hash) of each range bucket that has rows, one pair for each bucket.
+
+    Buckets are cut by quantiles of k, and by quantiles of the hash for a k that fills buckets of its own.
+    Quantiles are approximate, so the rows say what is first between two of them.
+    """
     cuts = [i / buckets for i in range(1, buckets)] or [0.5]
     row = docs.agg(F.min("k").alias("first"), F.percentile_approx("k", cuts, max(10_000, 10 * buckets)).alias("cut")).first()
     if row["first"] is None:
@@ -138,22 +142,26 @@ def _bounds(docs: DataFrame, buckets: int) -> list[tuple[int, int]]:
     ks = [row["first"], *(row["cut"] if buckets > 1 else [])]
     out, many = {(k, FIRST) for k in ks}, sorted(k for k in set(ks) if ks.count(k) > 2)
     if many:
-        inner = docs.where(F.col("k").isin(many)).groupBy("k").agg(F.min("hash").alias("first"), F.percentile_approx("hash", cuts, max(10_000, 10 * buckets)).alias("cut"))
-        out |= {(r["k"], h) for r in inner.collect() for h in r["cut"][:: max(1, buckets // ks.count(r["k"]))] if h > r["first"]}
-    return sorted(out)
+        near = F.array(*(F.lit(k) for k in many))
+        inner = docs.withColumn("near", F.array_max(F.filter(near, lambda m: m <= F.col("k")))).groupBy("near").agg(F.percentile_approx("hash", cuts, max(10_000, 10 * buckets)).alias("cut"))
+        own = {r["near"]: r["cut"] for r in inner.collect()}
+        out |= {(k, h) for k in many for h in own.get(k, ())[:: max(1, buckets // ks.count(k))]}
+    hash_ = F.col("hash") if many else F.lit(FIRST)  # texts are read for their hashes only where ids are shared
+    first = docs.groupBy(_bucket(sorted(out), hash_)[0].alias("b")).agg(F.min(F.struct("k", hash_.alias("h"))).alias("first"))
+    return sorted((r["first"]["k"], r["first"]["h"]) for r in first.collect())
 
 
-def _bucket(bounds: list[tuple[int, int]]) -> tuple[Column, Column]:
+def _bucket(bounds: list[tuple[int, int]], hash_: Column) -> tuple[Column, Column]:
     """A row's bucket and whether it may be the bucket's first, by two lookups in lists of about the square root's length."""
     pair = lambda k, h: F.struct(k.cast("long").alias("k"), h.cast("long").alias("h"))
-    own = pair(F.col("k"), F.col("hash"))
+    own = pair(F.col("k"), hash_)
     listed = lambda x: F.array(*(pair(F.lit(k), F.lit(h)) for k, h in x))
     step = math.isqrt(len(bounds) - 1) + 1
     at = F.size(F.filter(listed(bounds[::step]), lambda b: b <= own))
     near = F.element_at(F.array(*(listed(bounds[i : i + step]) for i in range(0, len(bounds), step))), at)
     place = F.size(F.filter(near, lambda b: b <= own))
     found = F.element_at(near, place)
-    return ((at - 1) * step + place - 1).cast("int"), (found["k"] == F.col("k")) & ((found["h"] == FIRST) | (found["h"] == F.col("hash")))
+    return ((at - 1) * step + place - 1).cast("int"), (found["k"] == F.col("k")) & ((found["h"] == FIRST) | (found["h"] == hash_))
 
 
 def neighbours(docs: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
@@ -161,7 +169,7 @@ def neighbours(docs: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
 
     The first rows of a bucket are also dealt to the bucket before it, as the next of its last.
     """
-    bucket, first = _bucket(bounds)
+    bucket, first = _bucket(bounds, F.col("hash"))
     n = len(bounds)
     places = F.array(F.struct(F.col("b").alias("bucket"), F.lit(0).alias("copy")))
     before = F.array(F.struct(F.pmod(F.col("b") - 1, F.lit(n)).cast("int").alias("bucket"), F.lit(1).alias("copy")))
@@ -242,7 +250,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     near = compared(found)
     texts = fingerprints(found.select("id", "own", "edited", "own_w", "edited_w").repartition(parts, "id"), {"own": "own_w", "edited": "edited_w"})
     out = found.select("id", "doc_id", "n_chars", "edited_sha256", "own_w", "edited_w").hint("merge").join(texts.hint("merge"), "id", "left").join(near.hint("merge"), "id")
-    sketch = lambda w, cells: F.concat(F.lower(F.hex(w)), F.lit("/"), F.coalesce(cells, F.lit("")))
+    sketch = lambda w, cells: F.lower(F.concat(F.hex(w), F.lit("/"), F.coalesce(cells, F.lit(""))))
     return out.select("doc_id", "n_chars", "edited_sha256", sketch("own_w", F.col("own")).alias("fingerprint"), sketch("edited_w", F.col("edited")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
