@@ -272,6 +272,40 @@ def test_substrings(docs, rows):
     assert substrings.removed(empty(docs)).count() == 0
 
 
+def test_substrings_equal_hashes(spark, docs):
+    """Unlike passages whose hashes are equal are told apart by their words, and judged again."""
+    want = Counter(tuple(r) for r in substrings.removed(docs).collect())
+    assert substrings._judged(docs, 50, 25, 0, 0).where("unlike").count() > 0
+    assert Counter(tuple(r) for r in substrings.removed(docs, masks=(0, (1 << 64) - 1)).collect()) == want
+    with pytest.raises(ValueError):
+        substrings.removed(docs, masks=(0,))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_substrings_random(spark, seed):
+    """Passages that branch, overlap, nest, repeat within a document and run to a document's ends; few words, short windows."""
+    draw = np.random.default_rng(seed)
+    stock = ["".join(draw.choice(list("abc"), 1)) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(draw.integers(1, 6)):
+            a = int(draw.integers(0, 50))
+            text += stock[a : a + int(draw.integers(2, 25))] if draw.random() < 0.7 else list(draw.choice(list("abc"), 5))
+        rows.append((int(draw.integers(0, 40)), " ".join(text)))
+    df = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string")
+    first: dict = {}
+    split = [(d, t.split()) for d, t in [*rows, *rows[:5]]]
+    for d, w in split:
+        for i in range(len(w) - 7):
+            first[tuple(w[i : i + 8])] = min(d, first.get(tuple(w[i : i + 8]), d))
+    want = Counter()
+    for d, w in split:
+        gone = {j for i in range(len(w) - 7) if first[tuple(w[i : i + 8])] < d for j in range(i, i + 8)}
+        want[(d, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))] += 1
+    assert Counter(tuple(r) for r in substrings.removed(df, 8, 3).collect()) == want
+
+
 def test_substrings_repeated_id(spark):
     df = spark.createDataFrame([(3, "a b c d e f"), (1, "z a b c d"), (3, "q b c d e"), (3, "a b c d e f")], "doc_id long, text string")
     got = sorted(tuple(r) for r in substrings.removed(df, 3, 2).collect())
