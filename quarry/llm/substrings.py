@@ -239,7 +239,8 @@ def spans(docs: DataFrame, width: int = WIDTH, short: int = SHORT, which: int =
 def _judged(docs: DataFrame, width: int, short: int, which: int, mask: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept, unlike (whether a span's words differ from its source's) for every row of docs."""
     found, cells = spans(docs, width, short, which, mask)
-    cells = cells.dropDuplicates(["doc_id", "t", "cell"]).select(F.col("doc_id").alias("source"), F.col("t").alias("source_t"), "cell", "words")
+    # a table of its own, so that the join below can split a source that very many documents repeat
+    cells = common.materialize(cells.dropDuplicates(["doc_id", "t", "cell"]).select(F.col("doc_id").alias("source"), F.col("t").alias("source_t"), "cell", "words"), "cells")
     cell = F.explode(F.sequence(F.floor(F.col("source_start") / CELL).cast("int"), F.floor((F.col("source_start") + F.col("length") - 1) / CELL).cast("int")))
     pieces = found.withColumn("cell", cell).join(cells.hint("merge"), ["source", "source_t", "cell"], "left")
     at = F.col("cell") * CELL - F.col("source_start") + F.col("start")  # of the cell's first word in the document
