@@ -14,17 +14,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
 
 MOST_BYTES = 500_000
-SYMBOLS = "path string, sym_id int, parent_id int, depth int, kind string, name string, parent_path string, start_line int, end_line int, signature string, doc string, content_hash string, structural_hash string, source_text string"
-CALLS = "path string, line int, callee string, caller string, call_text string, caller_start int, caller_end int"
-IMPORTS = "path string, line int, source string, lang string"
-IDENTIFIERS = "path string, name string"
-MEMBERS = "path string, line int, name string"
 
 
 @dataclass
@@ -45,19 +41,19 @@ class Facts:
     members: list[tuple[int, str]] = field(default_factory=list)
 
 
+#: What ends a definition's head, the first that a line has: a block, a colon, do.
+HEAD_ENDS = tuple(re.compile(p) for p in (r"\s*\{.*$", r"\s*:$", r"\s* do$", r"\s*, do:.*$"))
+HEAD_BYTES = 120
+
+
 def signature(line: str) -> str:
-    """A definition's first line up to its block, at most 120 bytes."""
-    line = line.strip()
-    if "{" in line:
-        return line.partition("{")[0].strip()
-    if line.endswith(":"):
-        return line[:-1].strip()
-    if line.endswith(" do"):
-        return line[:-3].strip()
-    if ", do:" in line:
-        return line.partition(", do:")[0].strip()
-    raw = line.encode()
-    return line if len(raw) <= 120 else raw[:117].decode("utf-8", "ignore") + "..."
+    """A definition's first line up to its block; without one at most HEAD_BYTES."""
+    head = line.strip()
+    if end := next((m for p in HEAD_ENDS if (m := p.search(head))), None):
+        return head[: end.start()]
+    if len(head.encode()) > HEAD_BYTES:
+        return head.encode()[: HEAD_BYTES - 3].decode("utf-8", "ignore") + "..."
+    return head
 
 
 # --- Python -------------------------------------------------------------------------------
@@ -118,7 +114,7 @@ def python_facts(text: str) -> Facts | None:
 
 TOKEN = {
     "slash": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])'|'[A-Za-z_]\w*(?!')|`(?:\\.|[^`\\])*`?|'(?:\\.|[^'\\\n])*'|[^\W\d]\w*|\d[\w.]*|::|->|=>|[^\s\w]", re.S),
-    "hash": re.compile(r"#[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|\x27\x27\x27.*?(?:\x27\x27\x27|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|[^\W\d][\w]*[?!]?|\d[\w.]*|::|->|=>|[^\s\w]", re.S),
+    "hash": re.compile(r"#[^\n]*|\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|[^\W\d][\w]*[?!]?|\d[\w.]*|::|->|=>|[^\s\w]", re.S),
 }
 HASH_LANGUAGES = ("python", "ruby", "elixir", "bash", "make", "dockerfile")
 
@@ -171,7 +167,12 @@ RULES: dict[str, list[tuple[str, re.Pattern]]] = {
 METHOD = re.compile(rf"^\s*{MODS}(?:get\s+|set\s+|\*\s*|#)?{NAME}\s*\([^;]*\)\s*(?::[^={{]*)?\{{")
 CONST_FUNCTION = re.compile(rf"^\s*(?:export\s+)?(?:default\s+)?const\s+{NAME}")
 ALIASES = {"typescript": "javascript", "tsx": "javascript", "scala": "kotlin", "cpp": "c", "csharp": "java"}
-NOT_CALLS = set("if for while switch match return catch fn func function def class struct enum impl trait sizeof typeof new await async let const var use import export in of do else elif with assert raise yield throw try loop where and or not lambda unless until when case".split())
+#: Words that a parenthesis follows without a call.
+NOT_CALLS = {
+    "if", "for", "while", "switch", "match", "return", "catch", "fn", "func", "function", "def", "class", "struct", "enum", "impl", "trait", "sizeof",
+    "typeof", "new", "await", "async", "let", "const", "var", "use", "import", "export", "in", "of", "do", "else", "elif", "with", "assert", "raise",
+    "yield", "throw", "try", "loop", "where", "and", "or", "not", "lambda", "unless", "until", "when", "case",
+}
 GO_WORDS = {"go", "defer", "select", "range"}
 NESTING = ("class", "struct", "module", "interface", "impl", "enum")
 
@@ -305,37 +306,73 @@ def enclosing(symbols: list[Symbol], line: int) -> tuple[str, int, int] | None:
 
 # --- tables -------------------------------------------------------------------------------
 
+#: What a scan can find in a file, each an array of structs.
+FOUND = {
+    "symbols": "sym_id int, parent_id int, depth int, kind string, name string, parent_path string, start_line int, end_line int, signature string, doc string, content_hash string, structural_hash string, source_text string",
+    "calls": "line int, callee string, caller string, call_text string, caller_start int, caller_end int",
+    "members": "line int, name string",
+    "identifiers": "name string",
+}
 
-def _rows(files: DataFrame, make, schema: str) -> DataFrame:
-    """Files (path, text) of at most MOST_BYTES through make(path, text, lang)."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    ints = {n: "Int32" for n, t in (c.strip().split() for c in schema.split(",")) if t == "int"}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [row for path, text, lang in frame.itertuples(index=False) if text is not None for row in make(path, text, lang)]
-            yield pd.DataFrame(out, columns=names).astype(ints)
+def _symbols(text: str, lang: str, found: Facts) -> Iterator[tuple]:
+    lines = text.split("\n")
+    for n, parent, depth, parent_path, s in flat(found.symbols):
+        body = "\n".join(lines[s.start - 1 : s.end])
+        yield n, parent, depth, s.kind, s.name, parent_path, s.start, s.end, s.signature, s.doc, hashlib.sha1(body.encode()).hexdigest(), structural_hash(body, s.name, lang), body
 
-    rows = files.where(F.octet_length("text") <= MOST_BYTES).select("path", "text", rules.language(F.col("path")).alias("lang"))
-    return rows.where("lang IS NOT NULL").mapInPandas(run, schema)
 
+def _calls(text: str, lang: str, found: Facts) -> Iterator[tuple]:
+    lines = text.split("\n")
+    for line, callee in found.calls:
+        caller = enclosing(found.symbols, line) or (None, None, None)
+        yield line, callee, caller[0], lines[line - 1].strip(), *caller[1:]
 
-def symbols(files: DataFrame) -> DataFrame:
-    def make(path, text, lang):
-        lines = text.split("\n")
-        for n, parent, depth, parent_path, s in flat(facts_of(text, lang).symbols):
-            body = "\n".join(lines[s.start - 1 : s.end])
-            yield path, n, parent, depth, s.kind, s.name, parent_path, s.start, s.end, s.signature, s.doc, hashlib.sha1(body.encode()).hexdigest(), structural_hash(body, s.name, lang), body
 
-    return _rows(files, make, SYMBOLS)
+MAKERS = {
+    "symbols": _symbols, "calls": _calls, "members": lambda text, lang, found: iter(found.members),
+    "identifiers": lambda text, lang, found: ((n,) for n in sorted(identifiers(text, lang))),
+}
+
+
+def scan(files: DataFrame, kinds: tuple[str, ...] = ("symbols", "calls", "members")) -> DataFrame:
+    """path, and an array for each kind: each file (path, text) of at most MOST_BYTES is parsed once."""
+    fields = {k: [c.split()[0] for c in FOUND[k].split(", ")] for k in kinds}
+    types = {k: pa.list_(pa.struct([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in FOUND[k].split(", ")])) for k in kinds}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in kinds}
+            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = facts_of(text, lang) if {*kinds} - {"identifiers"} else Facts()
+                for k in kinds:
+                    out[k].append([dict(zip(fields[k], row, strict=True)) for row in MAKERS[k](text, lang, found)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], types[k]) for k in kinds)], ["path", *kinds])
+
+    rows = files.where(F.octet_length("text") <= MOST_BYTES).select("path", "text", rules.language(F.col("path")).alias("lang")).where("lang IS NOT NULL")
+    schema = ", ".join(["path string", *(f"{k} array<struct<{', '.join(': '.join(c.split()) for c in FOUND[k].split(', '))}>>" for k in kinds)])
+    return rows.mapInArrow(run, schema)
+
+
+def of(scanned: DataFrame, kind: str) -> DataFrame:
+    """path and the columns of one kind, a row for each fact."""
+    return scanned.select("path", F.explode(kind).alias("_x")).select("path", "_x.*")
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    return of(scan(files, ("symbols",)), "symbols")
 
 
 WEIGHTS = {"function": 100, "class": 100, "struct": 100, "interface": 100, "enum": 100, "type": 100, "constant": 80, "module": 70, "property": 70, "variable": 40, "immutable": 40}
 
 
 def definitions(files: DataFrame) -> DataFrame:
+    return definitions_of(symbols(files))
+
+
+def definitions_of(found: DataFrame) -> DataFrame:
     """path, line, text, def_name, def_weight, start_line, end_line, impl_target of symbols down to the third level; an impl names its type."""
-    s = symbols(files).where("depth <= 2")
+    s = found.where("depth <= 2")
     impl = F.regexp_extract("name", r"^impl\s+(?:.*\bfor\s+)?([A-Za-z_]\w*)", 1)
     is_impl = F.startswith("name", F.lit("impl "))
     bash = rules.language(F.col("path")) == "bash"
@@ -348,58 +385,24 @@ def definitions(files: DataFrame) -> DataFrame:
 
 
 def calls(files: DataFrame) -> DataFrame:
-    def make(path, text, lang):
-        facts, lines = facts_of(text, lang), text.split("\n")
-        for line, callee in facts.calls:
-            caller = enclosing(facts.symbols, line)
-            yield path, line, callee, *(caller[:1] if caller else (None,)), lines[line - 1].strip(), *(caller[1:] if caller else (None, None))
-
-    return _rows(files, make, CALLS)
+    return of(scan(files, ("calls",)), "calls")
 
 
 def members(files: DataFrame) -> DataFrame:
-    return _rows(files, lambda path, text, lang: ((path, n, m) for n, m in facts_of(text, lang).members), MEMBERS)
+    return of(scan(files, ("members",)), "members")
 
 
 def identifier_index(files: DataFrame) -> DataFrame:
     """An exact inverted index in place of a filter for each file: semi-join names against it."""
-    return _rows(files, lambda path, text, lang: ((path, n) for n in sorted(identifiers(text, lang))), IDENTIFIERS)
-
-
-def import_source(text: str, lang: str) -> str:
-    t = text.strip().rstrip(";")
-    if lang == "bash":
-        after = re.sub(r"^(?:source|\.)\s+", "", t)
-        return "" if "$" in after else after.strip("\"'")
-    if lang == "elixir":
-        return re.sub(r"^(?:use|import|alias|require) ", "", t).partition(",")[0].strip()
-    if lang == "rust":
-        return t.removeprefix("use ").partition("{")[0].strip().removesuffix("::")
-    if lang == "python":
-        return t.split()[1] if len(t.split()) > 1 else ""
-    if lang in ("c", "cpp"):
-        return t.removeprefix("#include").strip()
-    source = t.partition("from ")[2] if "from " in t else t.removeprefix("import").strip()
-    return source.strip().strip("\"';")
+    return of(scan(files, ("identifiers",)), "identifiers")
 
 
 def imports(files: DataFrame) -> DataFrame:
     """Import lines with their source; external and stdlib by rule."""
-    prefix = re.compile(r"^\s*(?:import\b|import\{|from |use |#include|alias |require |source\s|\.\s)")
-
-    def make(path, text, lang):
-        for n, line in enumerate(text.split("\n"), 1):
-            if prefix.match(line):
-                yield path, n, line, lang
-
-    raw = _rows(files, make, IMPORTS).where(rules.is_import_line(F.col("source"), F.col("lang")))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["source"] = [import_source(s, x) for s, x in zip(frame["source"], frame["lang"], strict=True)]
-            yield frame
-
-    out = raw.mapInPandas(run, raw.schema).where("source <> ''")
+    lang, text = rules.language(F.col("path")), F.regexp_replace("text", "\r", "")
+    each = files.where((F.octet_length("text") <= MOST_BYTES) & lang.isNotNull()).select("path", lang.alias("lang"), F.posexplode(F.split(text, "\n")).alias("nth", "source"))
+    each = each.where(rules.is_import_line(F.col("source"), F.col("lang")))
+    out = each.select("path", (F.col("nth") + 1).alias("line"), rules.import_source(F.col("source"), F.col("lang")).alias("source"), "lang").where("source <> ''")
     return out.withColumn("is_external", rules.is_external(F.col("source"), F.col("lang"))).withColumn("is_stdlib", rules.is_stdlib(F.col("source"), F.col("lang")))
 
 

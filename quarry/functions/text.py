@@ -26,6 +26,18 @@ def token_label(tokens: Column) -> Column:
     return F.when(tokens < 1000, F.concat(F.lit("~"), tokens.cast("string"))).otherwise(F.concat(F.lit("~"), F.floor(tokens / 1000).cast("string"), F.lit("."), F.floor(tokens % 1000 / 100).cast("string"), F.lit("k")))
 
 
+def map_label(tokens: Column) -> Column:
+    """12, 1.2k (rounded) from 1,000 on, 1.0M from what would round to 1000.0k."""
+    decimal = lambda n, s: F.concat(F.format_string("%.1f", tokens / F.lit(float(n))), F.lit(s))
+    return F.when(tokens >= 999_950, decimal(1_000_000, "M")).when(tokens >= 1000, decimal(1000, "k")).otherwise(tokens.cast("string"))
+
+
+def header(path: Column, length: Column, lines: Column, mode: Column) -> Column:
+    """# path (12 lines, ~1.2k tokens) [mode]"""
+    label = token_label(F.floor((length + 3) / 4).cast("long"))
+    return F.concat(F.lit("# "), path, F.lit(" ("), lines.cast("string"), F.lit(" lines, "), label, F.lit(" tokens) ["), mode, F.lit("]"))
+
+
 def size_label(n: Column) -> Column:
     """Bytes, whole kilobytes, or megabytes with one decimal."""
     mb = F.concat(F.floor(n / 1048576).cast("string"), F.lit("."), F.floor(n % 1048576 * 10 / 1048576).cast("string"), F.lit("MB"))
@@ -61,6 +73,13 @@ def anchor_of(line: Column, hashed: Column) -> Column:
     return F.concat(line.cast("string"), F.lit(":"), F.lpad(F.lower(F.hex(hashed)), 3, "0"))
 
 
+def anchor_parts(anchor: Column) -> Column:
+    """struct(line, hash) of line:hash; null for what is no anchor."""
+    ok = anchor.rlike("^[0-9]{1,9}:[0-9a-fA-F]{1,3}$")
+    line, hashed = F.substring_index(anchor, ":", 1).cast("int"), F.conv(F.substring_index(anchor, ":", -1), 16, 10).cast("int")
+    return F.when(ok, F.struct(line.alias("line"), hashed.alias("hash")))
+
+
 def quoted(q: str) -> str:
     """q as a literal part of a Java and RE2 pattern."""
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}/-" else c for c in q)

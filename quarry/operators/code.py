@@ -21,7 +21,7 @@ FULL_CAPS = {"callees": 30, "callers": 50, "tests": 30, "siblings": 30}
 
 @dataclass
 class CodeBase:
-    """Facts of one tree, each extracted once in a scan and cut, so that queries share them."""
+    """Facts of one tree.  Symbols, calls and members come from one scan, written once, when a question first asks for any."""
 
     files: DataFrame
 
@@ -36,15 +36,19 @@ class CodeBase:
     def lines(self) -> DataFrame:
         return lines.lines(self.searched)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        return cut(facts.scan(self.searched))
+
     @cached_property
     def symbols(self) -> DataFrame:
-        return cut(facts.symbols(self.searched))
+        return facts.of(self.facts, "symbols")
 
     @cached_property
     def definitions(self) -> DataFrame:
-        code = facts.definitions(self.searched)
+        code = facts.definitions_of(self.symbols)
         heads = self.sections.select("path", "line", F.col("heading").alias("text"), F.col("heading").alias("def_name"), F.lit(30).alias("def_weight"), F.col("line").alias("start_line"), "end_line", F.lit(None).cast("string").alias("impl_target"))
-        return cut(code.unionByName(heads))
+        return code.unionByName(heads)
 
     @cached_property
     def sections(self) -> DataFrame:
@@ -53,11 +57,11 @@ class CodeBase:
 
     @cached_property
     def calls(self) -> DataFrame:
-        return cut(facts.calls(self.searched))
+        return facts.of(self.facts, "calls")
 
     @cached_property
     def imports(self) -> DataFrame:
-        return cut(facts.imports(self.searched))
+        return facts.imports(self.searched)
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -85,12 +89,18 @@ class CodeBase:
         return search.top(search.ranked(found, q), n)
 
     def concept(self, q: str, n: int = search.MATCHES) -> DataFrame:
-        """The first that finds anything: definitions of the name, the phrase, its words."""
+        """The first that finds anything: definitions of the name, the phrase, its words, usages; see not_found for what none does."""
         if " " not in q and not self.definitions.where(F.lower("def_name") == q.lower()).isEmpty():
             return self.symbol(q, n=n)
-        if " " in q and not search.exists(self.lines, q):
+        if search.exists(self.lines, q):
+            return self.content(q, n)
+        if " " in q:
             return search.top(search.ranked(search.relaxed(self.lines, q), q), n)
-        return self.content(q, n)
+        return self.symbol(q, n=n)
+
+    def not_found(self, q: str, n: int = 5) -> DataFrame:
+        """Names like one that nothing was found for, nearest first."""
+        return search.did_you_mean(self.definitions.select("def_name").distinct(), "def_name", q, 3, n)
 
     def callers(self, names: list[str], context: str | None = None) -> DataFrame:
         """Call sites of names, and of their callers."""
@@ -98,34 +108,73 @@ class CodeBase:
         sites = graph.impact(self.calls, targets)
         return sites.orderBy("hop", F.when(F.col("path") == (context or ""), 0).otherwise(1), F.size(F.split("path", "/")), "path", "line", "callee")
 
-    def callees(self, path: str, name: str) -> DataFrame:
-        """What a definition calls, resolved in its own file, then in imported files in order, then (Go) beside it."""
-        own = self.symbols.where((F.col("path") == path) & (F.col("name") == name)).agg(F.min("start_line").alias("a"), F.min_by("end_line", "start_line").alias("b"))
-        called = self.calls.where(F.col("path") == path).join(own, (F.col("line") >= F.col("a")) & (F.col("line") <= F.col("b"))).select(F.col("callee").alias("name")).distinct()
+    def _called(self, spans: DataFrame) -> DataFrame:
+        """What the definitions spans (path, start_line, end_line, name) call, each resolved in its own file, then in imported files in order, then (Go) beside it: root_path, root_line, name, path, start_line, end_line, signature, sym_id."""
+        r = spans.select(F.col("path").alias("root_path"), F.col("start_line").alias("root_line"), F.col("end_line").alias("_end")).distinct()
+        inside = (F.col("path") == F.col("root_path")) & (F.col("line") >= F.col("root_line")) & (F.col("line") <= F.col("_end"))
+        called = self.calls.join(r, inside).select("root_path", "root_line", F.col("callee").alias("name")).distinct()
+        roots = r.select("root_path").distinct()
         s = self.symbols.where(F.col("depth") <= 1).select("path", "name", "start_line", "end_line", "signature", "sym_id")
-        here = s.where(F.col("path") == path).withColumn("prio", F.lit(0)).withColumn("pos", F.lit(0))
-        imported = self.resolved.where(F.col("path") == path).select(F.col("target").alias("path"), F.col("line").alias("pos"))
+        here = s.join(roots, F.col("path") == F.col("root_path")).withColumns({"prio": F.lit(0), "pos": F.lit(0)})
+        imported = self.resolved.select(F.col("path").alias("root_path"), F.col("target").alias("path"), F.col("line").alias("pos")).join(roots, "root_path")
         there = s.join(imported, "path").withColumn("prio", F.lit(1))
-        beside = s.where((T.dirname(F.col("path")) == T.dirname(F.lit(path))) & (F.col("path") != path) & (F.col("path").endswith(".go") & F.lit(path.endswith(".go")))).withColumn("prio", F.lit(2)).withColumn("pos", F.lit(0))
+        go = F.endswith(F.col("path"), F.lit(".go")) & F.endswith(F.col("root_path"), F.lit(".go"))
+        beside = s.withColumn("_dir", T.dirname(F.col("path"))).join(roots.withColumn("_home", T.dirname(F.col("root_path"))), (F.col("_dir") == F.col("_home")) & (F.col("path") != F.col("root_path")) & go)
+        beside = beside.drop("_dir", "_home").withColumns({"prio": F.lit(2), "pos": F.lit(0)})
         found = here.unionByName(there).unionByName(beside)
-        return graph.resolve(called, found, ["name"], [F.col("prio"), F.col("pos"), F.col("path"), F.col("sym_id")]).select("name", "path", "start_line", "end_line", "signature").orderBy("path", "start_line")
+        nth = F.row_number().over(Window.partitionBy("root_path", "root_line", "name").orderBy("prio", "pos", "path", "sym_id"))
+        return called.join(found, ["root_path", "name"]).withColumn("_nth", nth).where("_nth = 1").drop("_nth", "prio", "pos")
+
+    def _own(self, path: str, name: str) -> DataFrame:
+        """The first definition of a name in a file."""
+        own = self.symbols.where((F.col("path") == path) & (F.col("name") == name)).select("path", "name", "start_line", "end_line")
+        return own.orderBy("start_line").limit(1)
+
+    def callees(self, path: str, name: str) -> DataFrame:
+        """What a definition calls, resolved."""
+        return self._called(self._own(path, name)).select("name", "path", "start_line", "end_line", "signature").orderBy("path", "start_line")
+
+    def callees_two_hops(self, path: str, name: str, budget: int = 15) -> DataFrame:
+        """What a definition calls (hop 1), and what those call (hop 2): hop, via, name, path, start_line, end_line.
+
+        A definition is told by file and first line, and comes once, at its first hop; neither is the root its own
+        callee.  Hop 2 ends at the budget, in order of the calling definitions and then of name.
+        """
+        own = self._own(path, name)
+        first = cut(self._called(own).join(own.select("path", "start_line"), ["path", "start_line"], "left_anti"))
+        one = first.select(F.lit(1).alias("hop"), F.lit(name).alias("via"), "name", "path", "start_line", "end_line")
+        seen = first.select("path", "start_line").union(own.select("path", "start_line")).distinct()
+        second = self._called(first.select("path", "start_line", "end_line")).join(seen, ["path", "start_line"], "left_anti")
+        names = first.select(F.col("path").alias("root_path"), F.col("start_line").alias("root_line"), F.col("name").alias("via"))
+        second = second.join(names, ["root_path", "root_line"])
+        nth = F.row_number().over(Window.partitionBy("path", "start_line").orderBy("root_path", "root_line", "name"))
+        second = second.withColumn("_nth", nth).where("_nth = 1").orderBy("root_path", "root_line", "name", "path").limit(budget)
+        return one.union(second.select(F.lit(2).alias("hop"), "via", "name", "path", "start_line", "end_line")).orderBy("hop", "path", "start_line")
 
     def unresolved(self, path: str, name: str) -> DataFrame:
         own = self.symbols.where((F.col("path") == path) & (F.col("name") == name)).agg(F.min("start_line").alias("a"), F.min_by("end_line", "start_line").alias("b"))
         called = self.calls.where(F.col("path") == path).join(own, (F.col("line") >= F.col("a")) & (F.col("line") <= F.col("b"))).select(F.col("callee").alias("name")).distinct()
         return called.join(self.callees(path, name), "name", "left_anti").orderBy("name")
 
-    def deps(self, path: str) -> dict[str, DataFrame]:
-        """Local files that a file uses with the symbols it calls there, external imports, and who uses it."""
+    def deps(self, path: str, parts: tuple[str, ...] = ("local", "external", "used_by")) -> dict[str, DataFrame]:
+        """Local files that a file uses with the symbols it calls there, external imports, and who uses it; only the parts asked for are worked out."""
+        makers = {"local": self._local, "external": self._external, "used_by": self._used_by}
+        return {part: makers[part](path) for part in parts}
+
+    def _local(self, path: str) -> DataFrame:
         called = self.calls.where(F.col("path") == path).select(F.col("callee").alias("name")).distinct()
         targets = self.resolved.where(F.col("path") == path).select("target").distinct()
         names = self.symbols.select(F.col("path").alias("target"), "name").distinct().join(called, "name")
-        local = targets.join(names, "target", "left").groupBy("target").agg(F.array_sort(F.collect_set("name")).alias("symbols")).orderBy("target")
-        external = self.imports.where((F.col("path") == path) & F.col("is_external") & ~F.col("is_stdlib") & rules.is_module_path(F.col("source"))).select("source").distinct().orderBy("source")
+        return targets.join(names, "target", "left").groupBy("target").agg(F.array_sort(F.collect_set("name")).alias("symbols")).orderBy("target")
+
+    def _external(self, path: str) -> DataFrame:
+        return self.imports.where((F.col("path") == path) & F.col("is_external") & ~F.col("is_stdlib") & rules.is_module_path(F.col("source"))).select("source").distinct().orderBy("source")
+
+    def _used_by(self, path: str) -> DataFrame:
         exported = self.symbols.where((F.col("path") == path) & (F.col("depth") <= 1) & ~rules.is_placeholder(F.col("name")) & F.col("kind").isin("function", "class", "struct", "interface", "enum", "type")).select("name").distinct()
         used = graph.used_by(self.calls, exported, path)
         order = [F.when(T.dirname(F.col("path")) == T.dirname(F.lit(path)), 0).otherwise(1), F.when(T.is_test_path(F.col("path")), 1).otherwise(0), F.col("path"), F.col("line")]
-        return {"local": local, "external": external, "used_by": used.orderBy(*order)}
+        return used.orderBy(*order)
 
     def grok(self, name: str, full: bool = False) -> DataFrame:
         """A definition's bundle as tagged rows: target, callees, external, callers, tests, siblings; part, path, line, name, detail."""
@@ -151,7 +200,7 @@ class CodeBase:
     def member_siblings(self, path: str, name: str, n: int = 6) -> DataFrame:
         """Members of its type that a method refers to through self or this, functions first."""
         own = self.symbols.where((F.col("path") == path) & (F.col("name") == name)).select("parent_id", "start_line", "end_line").limit(1)
-        used = facts.members(self.searched.where(F.col("path") == path)).join(own, (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))).select(F.col("name"), "parent_id").distinct()
+        used = facts.of(self.facts.where(F.col("path") == path), "members").join(own, (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))).select(F.col("name"), "parent_id").distinct()
         found = self.symbols.where(F.col("path") == path).join(used, ["name", "parent_id"]).where(F.col("name") != name)
         return found.orderBy(F.when(F.col("kind") == "function", 0).otherwise(1), "name").limit(n).select("name", "kind", "start_line", "signature")
 
@@ -173,6 +222,36 @@ class CodeBase:
             rows = rows.where((F.col("line") >= first) & (F.col("line") <= (last or first)))
         return rows.orderBy("line")
 
+    def read_sections(self, wanted: list[tuple[str, int, int]], budget: int = 6_000) -> DataFrame:
+        """Several ranges (path, first, last) as one answer: nth, path, first, last, text, shown.
+
+        Ranges come in the order asked for while their texts fit the budget of tokens together; one that does
+        not is replaced by a note, and later ones that do still come.
+        """
+        asked = self.files.sparkSession.createDataFrame([(i, *w) for i, w in enumerate(wanted)], "nth int, path string, first int, last int")
+        inside = (F.col("r.path") == F.col("a.path")) & (F.col("line") >= F.col("first")) & (F.col("line") <= F.col("last"))
+        got = asked.alias("a").join(self.lines.alias("r"), inside, "left").groupBy("nth", "a.path", "first", "last")
+        got = got.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+        blocks = got.agg(F.array_sort(F.collect_list(F.struct("nth", "path", "first", "last", "text"))).alias("b"))  # as many as were asked for
+        folded = pack.sections(F.transform("b", lambda x: F.struct(x["text"].alias("text"), T.token_estimate(x["text"]).alias("tokens"))), budget)
+        out = blocks.select(F.explode(F.zip_with("b", folded, lambda x, t: F.struct(x["nth"].alias("nth"), x["path"].alias("path"), x["first"].alias("first"), x["last"].alias("last"), t.alias("text"), (x["text"] == t).alias("shown")))).alias("x"))
+        return out.select("x.*").orderBy("nth")
+
+    def at(self, path: str, line: int) -> DataFrame:
+        """The innermost definition that holds a line."""
+        found = self.symbols.where((F.col("path") == path) & (F.col("start_line") <= line) & (F.col("end_line") >= line) & F.col("kind").isin("function", "class", "struct", "interface", "enum", "module"))
+        return found.orderBy(F.desc("start_line"), "end_line").limit(1)
+
+    def body(self, path: str, name: str) -> DataFrame:
+        """The lines of a definition, and whether it only wraps one other: at most ten lines that call one known definition and nothing else."""
+        own = self._own(path, name)
+        inside = (F.col("l.path") == F.col("o.path")) & (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))
+        known, unknown = self.callees(path, name).where(F.col("name") != name), self.unresolved(path, name)
+        counts = known.agg(F.count("*").alias("known")).join(unknown.agg(F.count("*").alias("unknown")), how="cross")  # one row each
+        rows = self.lines.alias("l").join(own.alias("o"), inside).join(counts, how="cross")
+        wraps = (F.col("end_line") - F.col("start_line") < 10) & (F.col("known") == 1) & (F.col("unknown") == 0)
+        return rows.select("l.path", "line", "text", wraps.alias("wraps")).orderBy("line")
+
     def modes(self) -> DataFrame:
         """How each file would be shown."""
         outline = self.symbols.where("depth <= 1").groupBy("path").agg(F.sum(T.token_estimate(F.col("signature"))).alias("o"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -9,7 +10,7 @@ from functools import lru_cache
 from itertools import pairwise
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -105,10 +106,15 @@ def pair_counts(text: str) -> tuple[Counter, int]:
 
 
 def similar_texts(old: DataFrame, new: DataFrame, ratio: float = LIKE) -> DataFrame:
-    """(a, b, score): Sorensen-Dice of all pairs of an old and a new item (id, text) whose lengths are within the ratio, pairs without a shared character pair too."""
+    """(a, b, score): Sorensen-Dice of all pairs of an old and a new item (id, text) whose lengths are within the ratio, pairs without a shared character pair too.
+
+    Lengths are cut into bands as wide as the ratio, so that a partner is in the same band or beside it: an equal join, not one of all pairs.
+    """
     x, y = old.select(F.col("id").alias("a"), F.col("text").alias("ta")), new.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     la, lb = F.octet_length("ta"), F.octet_length("tb")
-    near = x.join(y, F.least(la, lb) >= ratio * F.greatest(la, lb))
+    band = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / F.lit(-math.log(ratio))).cast("int")
+    x = x.withColumn("band", F.explode(F.array(*(band(la) + k for k in (-1, 0, 1)))))
+    near = x.join(y.withColumn("_band", band(lb)), (F.col("band") == F.col("_band")) & (F.least(la, lb) >= ratio * F.greatest(la, lb)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = lru_cache(4096)(pair_counts)
@@ -208,6 +214,51 @@ def attribute(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     return r.join(s, on).select("path", "hunk_no", "idx", F.col("kind_").alias("line_kind"), "content", "old_line", "new_line", "name", "kind")
 
 
+def in_scope(rows: DataFrame, scope: str) -> DataFrame:
+    """Diff lines or changes of the files whose path ends in the scope; file:function also keeps one function's."""
+    file, _, name = scope.partition(":")
+    found = rows.where(F.endswith("path", F.lit(file)))
+    return found.where(F.col("name") == name) if name else found
+
+
+def holding(changes: DataFrame, rows: DataFrame, q: str) -> DataFrame:
+    """Changes of symbols whose name holds q in any case, or among whose diff lines (attributed: path, name, content) one does."""
+    low = F.lit(q.lower())
+    by_line = rows.where(F.contains(F.lower("content"), low)).select("path", "name")
+    by_name = changes.where(F.contains(F.lower("name"), low)).select("path", "name")
+    return changes.join(by_line.union(by_name).distinct(), ["path", "name"], "left_semi")
+
+
+def with_files(changes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds what a diff says of the file: status, old_path of the file, is_binary; the first entry of a path counts."""
+    first = rows.groupBy(F.col("path").alias("_path")).agg(F.min_by(F.struct("status", F.col("old_path").alias("file_old_path"), "is_binary"), "file_id").alias("_f"))
+    return changes.join(first, F.col("path") == F.col("_path"), "left").select(*changes.columns, "_f.*")
+
+
+# The mark and the label of each change, and the mark of an ambiguous match.
+MARKS = {"added": "[+]", "deleted": "[-]", "body_changed": "[~]", "signature_changed": "[~:sig]", "renamed": "[→]", "moved": "[↦]", "renamed_moved": "[→↦]", "unchanged": "[ ]"}
+CHANGE_LABELS = {
+    "added": "added", "deleted": "deleted", "body_changed": "body changed", "signature_changed": "signature changed", "renamed": "renamed", "moved": "moved",
+    "renamed_moved": "renamed and moved", "unchanged": "unchanged",
+}
+AMBIGUOUS = "[?→]"
+
+
+def marker(change: Column, confidence: Column) -> Column:
+    """The mark that a change's line begins with."""
+    marks = F.create_map(*(F.lit(x) for pair in MARKS.items() for x in pair))
+    return F.when(confidence == "ambiguous", AMBIGUOUS).otherwise(F.element_at(marks, change))
+
+
+def change_label(change: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in CHANGE_LABELS.items() for x in pair)), change)
+
+
+def first_of(rows: DataFrame, key: list[str], pos: str) -> DataFrame:
+    """One row for each key, at its first place, in order of those: distinct that keeps an order."""
+    return rows.groupBy(*key).agg(F.min(pos).alias(pos)).orderBy(pos)
+
+
 def diff_counts(rows: DataFrame) -> DataFrame:
     """files, insertions, deletions of each patch."""
     return rows.groupBy("patch_id").agg(F.count_distinct("file_id").alias("files"), F.count_if(F.col("kind") == "added").alias("insertions"), F.count_if(F.col("kind") == "removed").alias("deletions"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.cuts import cut
+
 
 def callers(calls: DataFrame, targets: DataFrame) -> DataFrame:
     """Call sites whose callee is a target: one scan for all targets."""
@@ -74,17 +78,22 @@ def overlapping(ranges: DataFrame, spans: DataFrame, key: str, band: int = 3) ->
     return spans.join(r, on, "left_semi")
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """(node, hop): everything that the start nodes reach, at its first hop, by WITH RECURSIVE up to most levels."""
-    spark = edges.sparkSession
-    edges.select("src", "dst").createOrReplaceTempView("_quarry_edges")
-    start.select("node").createOrReplaceTempView("_quarry_start")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, hop) MAX RECURSION LEVEL {most} AS (
-          SELECT node, 0 FROM _quarry_start
-          UNION ALL
-          SELECT e.dst, w.hop + 1 FROM walk w JOIN _quarry_edges e ON w.node = e.src WHERE w.hop < {most - 1})
-        SELECT node, min(hop) AS hop FROM walk GROUP BY node""")
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, hop): everything that the start nodes reach, at its first hop.
+
+    Breadth first: each level is joined to the edges, what was seen before is left out, and the level is
+    written, until a level is empty; so cycles end and no path is cut.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    levels, hop = [cut(start.select("node", F.lit(0).alias("hop")).distinct())], 0
+    while not levels[-1].isEmpty():
+        hop += 1
+        seen = reduce(DataFrame.union, levels)
+        found = levels[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        levels.append(cut(found.withColumn("hop", F.lit(hop))))
+        if len(levels) > 16:  # plans stay short
+            levels = [cut(reduce(DataFrame.union, levels[:-1])), levels[-1]]
+    return reduce(DataFrame.union, levels)
 
 
 def used_by(calls: DataFrame, exported: DataFrame, path: str, most: int = 25) -> DataFrame:

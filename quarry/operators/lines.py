@@ -111,11 +111,10 @@ def headings(rows: DataFrame, key: list[str]) -> DataFrame:
     filled = F.max(F.when(F.trim("text") != "", F.col("line"))).over(over)
     rows = rows.withColumn("_filled", filled).withColumn("_total", F.max("_filled").over(by))
     found = rows.where("level > 0").select(*key, "line", "level", T.heading_text(F.col("text")).alias("heading"), "_total")
-    stops = rows.where("level > 0").select(*[F.col(k).alias(f"_{k}") for k in key], F.col("line").alias("_line"), F.col("level").alias("_level"))
-    match = (F.col("_line") > F.col("line")) & (F.col("_level") <= F.col("level"))
-    for k in key:
-        match = match & (F.col(k) == F.col(f"_{k}"))
-    ends = found.join(stops, match, "left").groupBy(*key, "line", "level", "heading", "_total").agg(F.min("_line").alias("_stop"))
+    # the nearest later heading of a level up to its own: running minima from the file's end
+    later = by.orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    stops = F.array(*(F.min(F.when(F.col("level") <= n, F.col("line"))).over(later) for n in range(1, 7)))
+    ends = found.withColumn("_stop", F.element_at(stops, F.col("level")))
     edges = rows.select(*[F.col(k).alias(f"_{k}") for k in key], (F.col("line") + 1).alias("_at"), F.col("_filled").alias("_end"))
     on = F.col("_stop") == F.col("_at")
     for k in key:
@@ -123,6 +122,13 @@ def headings(rows: DataFrame, key: list[str]) -> DataFrame:
     return ends.join(edges, on, "left").select(*key, "line", "level", "heading", F.coalesce("_end", "_total").alias("end_line"))
 
 
+def around(rows: DataFrame, key: list[str], hit: Column, n: int = 2) -> DataFrame:
+    """Rows within n rows of a hit: the columns of rows, and hit."""
+    rows = rows.withColumn("hit", hit)
+    near = F.max(F.col("hit").cast("int")).over(Window.partitionBy(*key).orderBy("line").rowsBetween(-n, n))
+    return rows.withColumn("_near", near).where("_near = 1").drop("_near")
+
+
 def view(rows: DataFrame, key: list[str], kind: Column) -> DataFrame:
     """Log files: 10 first and 5 last lines; others: 50 and 10; tables: header, 5 first and 3 last rows."""
     rows = rows.withColumn("_kind", kind)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -69,17 +69,20 @@ SELECT path, count(*) AS kept, sum(gap)::BIGINT AS skipped FROM k GROUP BY path"
 
 
 def head_tail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as logs (10 first, 5 last turns) and long documents (2/3 and 1/3 of nine lines)."""
+    """Views of conversations as logs and of documents by the kind of their file (Go files as tables), and two thirds and one third of nine lines."""
     turns = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"))
-    log = lines.head_tail(turns, ["path"], "line", 10, 5).select("path", "line", "part", "total")
-    docs = lines.body_slice(C.lines(spark, sf_dir), ["path"], "line", 9).select("path", "line", "part", "total")
-    return log.union(docs)
+    rows = C.lines(spark, sf_dir).select("path", "line")
+    kind = F.when(F.endswith("path", F.lit(".go")), "tabular").when(F.contains("path", F.lit("/")), "other").otherwise("log")
+    shown = lines.view(turns.union(rows), ["path"], kind).select("path", "line", "part", "total", F.lit("view").alias("how"))
+    return shown.union(lines.body_slice(rows, ["path"], "line", 9).select("path", "line", "part", "total", F.lit("slice").alias("how")))
 
 
 HEAD_TAIL_VIEW = f"""WITH {C.LINES_SQL},
-a AS (SELECT conv_id::VARCHAR AS path, turn AS line, 10 AS h, 5 AS t FROM conversations UNION ALL SELECT path, line, 6, 3 FROM lines),
-n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS nth, count(*) OVER (PARTITION BY path) AS total FROM a)
-SELECT path, line, CASE WHEN nth <= h THEN 'head' ELSE 'tail' END AS part, total FROM n WHERE nth <= h OR nth > total - t"""
+a AS (SELECT conv_id::VARCHAR AS path, turn AS line, 10 AS h, 5 AS t, 'view' AS how FROM conversations
+  UNION ALL SELECT path, line, CASE WHEN ends_with(path, '.go') THEN 6 ELSE 50 END, CASE WHEN ends_with(path, '.go') THEN 3 ELSE 10 END, 'view' FROM lines
+  UNION ALL SELECT path, line, 6, 3, 'slice' FROM lines),
+n AS (SELECT *, row_number() OVER (PARTITION BY path, how ORDER BY line) AS nth, count(*) OVER (PARTITION BY path, how) AS total FROM a)
+SELECT path, line, CASE WHEN nth <= h THEN 'head' ELSE 'tail' END AS part, total, how FROM n WHERE nth <= h OR nth > total - t"""
 
 
 def view_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +113,21 @@ d AS (SELECT array_to_string(p[1:i], '/') AS dir, tokens FROM p, LATERAL (SELECT
 SELECT dir, sum(tokens)::BIGINT AS total, count(*) AS files FROM d GROUP BY dir"""
 
 
+def stripped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files without debug logs, plain comments and repeated blanks: every third line is made one of these."""
+    i = F.col("line") % 9
+    made = F.when(i == 2, "  // note: kept").when(i == 3, "  # plain").when(i == 5, "").when(i == 6, "  ").when(i == 8, 'print("x")').otherwise(F.col("text"))
+    rows = C.lines(spark, sf_dir).withColumn("text", made)
+    return lines.strip_noise(rows, ["path"], rules.language(F.col("path"))).groupBy("path").agg(F.count("*").alias("kept"), F.sum("line").alias("total"))
+
+
+STRIPPED_LINES = rf"""WITH {C.LINES_SQL}, m AS (SELECT path, line, regexp_extract(path, '\.([^./]+)$', 1) AS x, CASE line % 9 WHEN 2 THEN '  // note: kept' WHEN 3 THEN '  # plain' WHEN 5 THEN '' WHEN 6 THEN '  ' WHEN 8 THEN 'print("x")' ELSE text END AS text FROM lines),
+b AS (SELECT *, trim(text, ' ') AS t, trim(text, ' ') = '' AS blank, coalesce(lag(trim(text, ' ') = '') OVER (PARTITION BY path ORDER BY line), false) AS before FROM m),
+k AS (SELECT path, line FROM b WHERE NOT (blank AND before) AND NOT CASE WHEN regexp_matches(upper(t), 'TODO|FIXME|NOTE|HACK|SAFETY|WARN') THEN x = 'py' AND starts_with(t, 'print(') WHEN x = 'py' THEN starts_with(t, '#') OR starts_with(t, 'print(')
+  WHEN x IN ('rs', 'go', 'js') THEN starts_with(t, '//') AND NOT (x = 'rs' AND (starts_with(t, '///') OR starts_with(t, '//!'))) ELSE false END)
+SELECT path, count(*) AS kept, sum(line)::BIGINT AS total FROM k GROUP BY path"""
+
+
 def labels_of_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.octet_length("text").cast("long")
     return C.table(spark, sf_dir, "documents").select("doc_id", T.token_label(T.token_estimate(F.col("text"))).alias("tokens"), T.size_label(n * 37).alias("size"), T.age_label(n * 5).alias("age"))
@@ -126,18 +144,31 @@ def fnv_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("anchor", T.anchor_of(F.col("line"), F.col("hash")))
 
 
-FNV_LINE_HASH = f"""WITH {C.LINES_SQL}, s AS (SELECT path, line, text, hex(encode(text)) AS h FROM lines WHERE length(text) <= 60),
+FNV_LINE_HASH = f"""WITH {C.LINES_SQL}, s AS (SELECT path, line, text, hex(encode(text)) AS h FROM lines),
 f AS (SELECT path, line, (list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)), lambda a, b: (xor(a, b) * 16777619) & 4294967295) & 4095)::BIGINT AS hash FROM s)
 SELECT path, line, hash, concat(line, ':', lpad(lower(to_hex(hash)), 3, '0')) AS anchor FROM f"""
 
 
+def _markdown(replace: str) -> str:
+    """SQL for a page as Markdown: headings by their level, other tags as line ends."""
+    out = "html"
+    for n in range(1, 7):
+        out = replace.format(out, f"<h{n}[^>]*>", f"concat(chr(10), '{'#' * n} ')")
+    return replace.format(out, "<[^>]*>", "chr(10)")
+
+
 def section_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings of pages, and how many of each level."""
-    pages = C.table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(h[1-6])[ >]"), F.lit(1))).alias("level"))
-    return pages.groupBy("page_id", "level").agg(F.count("*").alias("n"))
+    """Headings of pages with the spans of their sections."""
+    pages = C.table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.expr(_markdown("regexp_replace({}, '{}', {})")).alias("text"))
+    return lines.headings(lines.lines(pages), ["path"])
 
 
-SECTION_OUTLINE = "SELECT page_id, level, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])[ >]', 1)) AS level FROM pages) GROUP BY 1, 2"
+SECTION_OUTLINE = rf"""WITH m AS (SELECT page_id AS path, {_markdown("regexp_replace({}, '{}', {}, 'g')")} AS text FROM pages WHERE length(html) > 0),
+l AS (SELECT path, generate_subscripts(p, 1) AS line, unnest(p) AS text FROM (SELECT path, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS p FROM m WHERE length(text) > 0)),
+f AS (SELECT *, (sum(regexp_matches(text, '^ {{0,3}}(```|~~~)')::INT) OVER (PARTITION BY path ORDER BY line)) % 2 + regexp_matches(text, '^ {{0,3}}(```|~~~)')::INT AS open FROM l),
+h AS (SELECT path, line, length(regexp_extract(text, '^ {{0,3}}(#{{1,6}})([ \t]|$)', 1)) AS level, trim(regexp_replace(regexp_extract(text, '^ {{0,3}}#{{1,6}}[ \t]+(.*)$', 1), '[ \t]+#+[ \t]*$', ''), ' ') AS heading FROM f WHERE open = 0),
+s AS (SELECT a.path, a.line, a.level, a.heading, min(b.line) AS stop FROM h a LEFT JOIN h b ON a.path = b.path AND b.line > a.line AND b.level BETWEEN 1 AND a.level WHERE a.level > 0 GROUP BY 1, 2, 3, 4)
+SELECT s.path, s.line::BIGINT AS line, level::BIGINT AS level, heading, max(l.line)::BIGINT AS end_line FROM s JOIN l ON l.path = s.path AND l.line < coalesce(stop, 9223372036854775807) AND trim(l.text, ' ') <> '' GROUP BY 1, 2, 3, 4"""
 
 
 def cumulative_edit_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,11 +206,18 @@ i AS (SELECT q, event_id, (sum(new) OVER (PARTITION BY q ORDER BY event_id))::BI
 
 
 def first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of an order as result blocks within a budget (a fold that SQL has not)."""
+    """Line items of an order as result blocks within a budget: the dearest first, each if it still fits."""
     b = C.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_linenumber").alias("idx"), F.col("l_extendedprice").cast("long").alias("value"), F.col("l_quantity").cast("long").alias("tokens"))
     return pack.packed(b, ["q"], 60)
 
 
+FIRST_FIT_PACKING = """WITH RECURSIVE b AS (SELECT l_orderkey AS q, l_linenumber::BIGINT AS idx, trunc(l_extendedprice)::BIGINT AS value, trunc(l_quantity)::BIGINT AS tokens FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY value DESC, idx, tokens) AS n FROM b),
+f AS (SELECT q, 0::BIGINT AS n, 0::BIGINT AS used, false AS taken FROM (SELECT DISTINCT q FROM b)
+  UNION ALL SELECT f.q, o.n, CASE WHEN f.used + o.tokens <= 60 THEN f.used + o.tokens ELSE f.used END, f.used + o.tokens <= 60 FROM f JOIN o ON f.q = o.q AND o.n = f.n + 1)
+SELECT q, idx, value, tokens FROM o JOIN f USING (q, n) WHERE taken"""
+
+
 def expand_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first match of each file, the ten best files."""
     m = C.lines(spark, sf_dir).where(F.contains("text", F.lit("thand")))
@@ -220,9 +258,7 @@ SELECT CASE WHEN age < 3600 THEN 100 WHEN age < 86400 THEN 80 WHEN age < 604800
 
 def outline_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rows around each hit."""
-    rows = C.lines(spark, sf_dir).withColumn("hit", F.contains("text", F.lit("thand")))
-    near = F.max(F.col("hit").cast("int")).over(Window.partitionBy("path").orderBy("line").rowsBetween(-2, 2))
-    return rows.withColumn("near", near).where("near = 1").select("path", "line", "hit")
+    return lines.around(C.lines(spark, sf_dir), ["path"], F.contains("text", F.lit("thand"))).select("path", "line", "hit")
 
 
 OUTLINE_CONTEXT = f"""WITH {C.LINES_SQL}, h AS (SELECT path, line, contains(text, 'thand') AS hit FROM lines),
@@ -232,9 +268,9 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (line_enclosing_interval, LINE_ENCLOSING_INTERVAL), (line_run_compression, LINE_RUN_COMPRESSION), (neighbor_boost_top, NEIGHBOR_BOOST_TOP), (blank_collapse, BLANK_COLLAPSE),
-        (head_tail_view, HEAD_TAIL_VIEW), (view_ladder, VIEW_LADDER), (token_budget_cumulative, TOKEN_BUDGET_CUMULATIVE), (token_rollup, TOKEN_ROLLUP), (labels_of_sizes, LABELS_OF_SIZES),
+        (head_tail_view, HEAD_TAIL_VIEW), (view_ladder, VIEW_LADDER), (token_budget_cumulative, TOKEN_BUDGET_CUMULATIVE), (token_rollup, TOKEN_ROLLUP), (stripped_lines, STRIPPED_LINES), (labels_of_sizes, LABELS_OF_SIZES),
         (fnv_line_hash, FNV_LINE_HASH), (section_outline, SECTION_OUTLINE), (cumulative_edit_offset, CUMULATIVE_EDIT_OFFSET), (hunk_line_numbers, HUNK_LINE_NUMBERS),
-        (consecutive_usage_groups, CONSECUTIVE_USAGE_GROUPS), (first_fit_packing, None), (expand_budget, EXPAND_BUDGET), (package_roots, PACKAGE_ROOTS), (normalized_paths, NORMALIZED_PATHS),
+        (consecutive_usage_groups, CONSECUTIVE_USAGE_GROUPS), (first_fit_packing, FIRST_FIT_PACKING), (expand_budget, EXPAND_BUDGET), (package_roots, PACKAGE_ROOTS), (normalized_paths, NORMALIZED_PATHS),
         (recency_buckets, RECENCY_BUCKETS), (outline_context, OUTLINE_CONTEXT),
     )
 }

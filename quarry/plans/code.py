@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts
 from ..functions import text as T
-from ..operators import diff, lines, rollup
+from ..operators import diff, lines
 from ..operators.code import CodeBase
 from . import corpus as C
 
@@ -121,7 +121,7 @@ UNION ALL SELECT path, line::BIGINT, false, 2::BIGINT, 160::BIGINT FROM u"""
 
 def code_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reverse dependencies of one file: who calls what it defines."""
-    return _base(spark, sf_dir).deps("src/m3.py")["used_by"].select("path", "caller", "line", F.array_join("symbols", ",").alias("symbols"))
+    return _base(spark, sf_dir).deps("src/m3.py", ("used_by",))["used_by"].select("path", "caller", "line", F.array_join("symbols", ",").alias("symbols"))
 
 
 CODE_DEPENDENCIES = f"""{CALLS_SQL} SELECT path, x.r AS caller, min(x.l)::BIGINT AS line, array_to_string(list_sort(list(DISTINCT x.e)), ',') AS symbols
@@ -129,13 +129,32 @@ FROM c WHERE x.e IN ('C3', 'run', 'stop', 'f3') AND path <> 'src/m3.py' AND EXIS
 
 
 def code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of directories."""
-    f = files(spark, sf_dir).select("path", T.token_estimate(F.col("text")).alias("tokens"))
-    return rollup.directory_totals(f, "tokens")
+    """Tokens of directories, and files with theirs and their top-level symbols."""
+    return _base(spark, sf_dir).map().select("path", "tokens", F.array_join("symbols", ",").alias("symbols"))
 
 
-CODE_MAP = f"""WITH {FILES_SQL}, t AS (SELECT regexp_extract(path, '^[a-z]+') AS dir, (octet_length(encode(text)) + 3) // 4 AS tokens FROM files)
-SELECT dir, sum(tokens)::BIGINT AS total, count(*) AS files FROM t GROUP BY dir UNION ALL SELECT '', sum(tokens)::BIGINT, count(*) FROM t"""
+CODE_MAP = f"""{SYMBOLS_SQL}, t AS (SELECT i, path, regexp_extract(path, '^[a-z]+') AS dir, (octet_length(encode(text)) + 3) // 4 AS tokens FROM files),
+n AS (SELECT i, string_agg(x.name, ',' ORDER BY x.a) AS symbols FROM s WHERE x.depth = 0 GROUP BY i)
+SELECT concat(dir, '/') AS path, sum(tokens)::BIGINT AS tokens, NULL AS symbols FROM t GROUP BY dir UNION ALL SELECT '/', sum(tokens)::BIGINT, NULL FROM t HAVING count(*) > 0
+UNION ALL SELECT path, tokens::BIGINT, symbols FROM t JOIN n USING (i)"""
+
+
+def code_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a function calls, and what those call, each once."""
+    return _base(spark, sf_dir).callees_two_hops("src/m3.py", "f3").select("hop", "via", "name", "path", "start_line")
+
+
+CODE_TWO_HOPS = f"""WITH {FILES_SQL}, c AS (SELECT unnest([{{'h': 1, 'v': 'f3', 'n': 'C3', 'a': 3}}, {{'h': 1, 'v': 'f3', 'n': 'run', 'a': 4}}, {{'h': 2, 'v': 'C3', 'n': 'stop', 'a': 7}}]) AS x FROM files WHERE i = 3)
+SELECT x.h::BIGINT AS hop, x.v AS via, x.n AS name, 'src/m3.py' AS path, x.a::BIGINT AS start_line FROM c"""
+
+
+def code_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several ranges of files as one answer."""
+    return _base(spark, sf_dir).read_sections([("src/m3.py", 10, 12), ("src/m1.rs", 1, 2), ("src/none.py", 1, 9)]).select("nth", "path", "text", "shown")
+
+
+CODE_SECTIONS = f"""WITH {FILES_SQL}, l AS (SELECT path, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS p FROM files), w AS (SELECT * FROM (VALUES (0, 'src/m3.py', 10, 12), (1, 'src/m1.rs', 1, 2), (2, 'src/none.py', 1, 9)) v(n, path, a, b))
+SELECT n::BIGINT AS nth, w.path, coalesce(array_to_string(p[a:b], chr(10)), '') AS text, true AS shown FROM w LEFT JOIN l ON w.path = l.path"""
 
 
 def structural_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +167,7 @@ def structural_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.groupBy("change").agg(F.count("*").alias("n"))
 
 
-STRUCTURAL_DIFF = f"""WITH {FILES_SQL}, o AS (SELECT * FROM files WHERE i < 300),
+STRUCTURAL_DIFF = f"""WITH {FILES_SQL}, o AS (SELECT * FROM files),
 c AS (SELECT 'renamed' AS change, count(*) AS n FROM o WHERE i % 10 = 1 UNION ALL SELECT 'body_changed', 2 * count(*) FROM o WHERE i % 10 = 3 AND i % 3 = 0
   UNION ALL SELECT 'deleted', sum(CASE i % 3 WHEN 2 THEN 3 ELSE 4 END)::BIGINT FROM o WHERE i % 10 = 9)
 SELECT change, n FROM c WHERE n > 0"""
@@ -157,13 +176,13 @@ SELECT change, n FROM c WHERE n > 0"""
 def edit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits by line and hash: those with a stale hash leave their file alone; the edited texts as digests."""
     base = _base(spark, sf_dir)
-    first = lines.lines(files(spark, sf_dir).where("doc_id % 4 = 0").select("path", "text", "doc_id"), ["path", "doc_id"]).where("line = 2")
+    first = lines.lines(files(spark, sf_dir).select("path", "text", "doc_id"), ["path", "doc_id"]).where("line = 2")
     stale = F.when(F.col("doc_id") % 8 == 0, 1).otherwise(0)
     edits = first.select("path", F.col("line").alias("start"), (F.col("line") + 1).alias("end"), ((T.fnv12(F.col("text")) + stale) % 4096).alias("start_hash"), F.lit("# edited\n# twice\n# thrice").alias("content"))
     return base.apply(edits).select("path", F.sha2("text", 256).alias("digest"))
 
 
-EDIT_BATCH = rf"""WITH {FILES_SQL}, l AS (SELECT path, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS p FROM files WHERE i % 4 = 0 AND i % 8 <> 0)
+EDIT_BATCH = rf"""WITH {FILES_SQL}, l AS (SELECT path, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS p FROM files WHERE i % 8 <> 0)
 SELECT path, sha256(array_to_string(list_concat(p[1:1], ['# edited', '# twice', '# thrice'], p[4:]), chr(10))) AS digest FROM l"""
 
 
@@ -181,6 +200,6 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (code_symbols, CODE_SYMBOLS), (code_definitions, CODE_DEFINITIONS), (code_calls, CODE_CALLS), (code_callers, CODE_CALLERS), (code_imports, CODE_IMPORTS), (code_identifiers, CODE_IDENTIFIERS),
-        (symbol_search, SYMBOL_SEARCH), (code_dependencies, CODE_DEPENDENCIES), (code_map, CODE_MAP), (structural_diff, STRUCTURAL_DIFF), (edit_batch, EDIT_BATCH), (unified_diff_lines, UNIFIED_DIFF_LINES),
+        (symbol_search, SYMBOL_SEARCH), (code_dependencies, CODE_DEPENDENCIES), (code_map, CODE_MAP), (code_two_hops, CODE_TWO_HOPS), (code_sections, CODE_SECTIONS), (structural_diff, STRUCTURAL_DIFF), (edit_batch, EDIT_BATCH), (unified_diff_lines, UNIFIED_DIFF_LINES),
     )
 }

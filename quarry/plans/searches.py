@@ -101,7 +101,7 @@ FROM lines WHERE contains(text, 'there') GROUP BY 1"""
 
 
 def rank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.files(spark, sf_dir).select("path", F.substring("text", 1, 40).alias("text"))
+    rows = C.files(spark, sf_dir).select("path", "text")
     return rows.select("path", ranking.score({"path": F.col("path"), "text": F.col("text")}, "mod_12").alias("score"))
 
 
@@ -110,6 +110,31 @@ SELECT path, ({PROXIMITY} - ({PENALTIES}) + CASE WHEN stem = 'mod_12' THEN 500 W
   WHEN ends_with(stem, 'mod_12') THEN 250 WHEN contains(stem, 'mod_12') THEN 180 ELSE 0 END)::BIGINT AS score FROM s"""
 
 
+def rank_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of relevance: documents as matches of a name, with made-up lines, definitions, ages and sizes."""
+    i = F.col("doc_id")
+    text = F.when(i % 4 == 0, "fn mod_12() {").when(i % 4 == 1, "export function y()").when(i % 4 == 2, "// mod_12 comment").otherwise("a = 1 // mod_12")
+    m = {
+        "path": F.col("path"), "text": text, "is_definition": i % 2 == 0, "def_weight": F.when(i % 3 == 0, 100).otherwise(40), "def_name": F.concat(F.lit("mod_"), (i % 20).cast("string")),
+        "impl_target": F.when(i % 5 == 0, "mod_12").otherwise("x"), "exact": i % 7 == 0, "file_lines": (i % 400).cast("int"), "mtime": F.timestamp_seconds(F.lit(1_700_000_000) - i * 7_200),
+    }
+    now = F.timestamp_seconds(F.lit(1_700_000_000))
+    return C.files(spark, sf_dir).select("path", ranking.score(m, "mod_12", now, "src/src1/mod_0.rs").alias("score"))
+
+
+RANK_TERMS = rf"""WITH {C.FILES_SQL}, s AS (SELECT path, doc_id AS i, concat('mod_', doc_id % 20) AS name, regexp_replace(path, '/?[^/]*$', '') AS dir,
+  lower(regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\.[^.]*$', '\1')) AS stem FROM files)
+SELECT path, ({PROXIMITY} - ({PENALTIES}) + CASE WHEN stem = 'mod_12' THEN 500 WHEN starts_with(stem, 'mod_12') AND substr(stem, 7, 1) IN ('_', '.', '-') THEN 350
+    WHEN ends_with(stem, 'mod_12') THEN 250 WHEN contains(stem, 'mod_12') THEN 180 ELSE 0 END
+  + CASE WHEN i % 2 = 0 THEN 10 * CASE WHEN i % 3 = 0 THEN 100 ELSE 40 END ELSE 0 END + CASE WHEN i % 7 = 0 THEN 500 ELSE 0 END
+  + CASE WHEN name = 'mod_12' THEN 220 WHEN i % 5 = 0 THEN 120 WHEN starts_with(name, 'mod_12') THEN 80 WHEN contains(name, 'mod_12') THEN 40 ELSE 0 END
+  + CASE WHEN i % 4 IN (0, 1) THEN 70 ELSE 0 END + CASE WHEN i % 4 = 1 THEN 75 ELSE 0 END
+  + CASE WHEN i % 400 BETWEEN 1 AND 199 THEN 50 ELSE 0 END
+  + CASE WHEN i * 7200 < 3600 THEN 100 WHEN i * 7200 < 86400 THEN 80 WHEN i * 7200 < 604800 THEN 50 WHEN i * 7200 < 2592000 THEN 20 ELSE 0 END
+  + CASE WHEN dir = 'src/src1' THEN 100 WHEN starts_with(concat(dir, '/'), 'src/src1/') THEN 40 ELSE 0 END
+  - CASE WHEN i % 2 = 0 THEN 0 WHEN i % 4 = 3 THEN 100 ELSE 0 END)::BIGINT AS score FROM s"""
+
+
 def classify_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = C.table(spark, sf_dir, "part")
     texts = p.select(F.explode(F.array("p_name", "p_brand", "p_type", F.col("p_partkey").cast("string"), F.concat(F.lit("src/"), "p_brand"), F.concat(F.lit("*."), "p_brand"), F.concat(F.lit("/"), "p_name", F.lit("+/")))).alias("q"))
@@ -172,12 +197,13 @@ def fuzzy_pairs_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.similar_texts(items, documents).select("a", "b", F.round("score", 6).alias("score"))
 
 
-FUZZY_PAIRS_DICE = r"""WITH b AS (SELECT item_id, substr(text, 1, 60) AS t FROM benchmark), s AS (SELECT item_id, t, regexp_replace(t, '\s+', '', 'g') AS s FROM b),
-g AS (SELECT item_id, substr(s, i, 2) AS g, count(*) AS n FROM s, LATERAL (SELECT unnest(range(1, length(s))) AS i) r GROUP BY 1, 2),
-p AS (SELECT x.item_id AS a, y.item_id AS b, length(x.s) - 1 + length(y.s) - 1 AS total FROM s x JOIN s y ON x.item_id < y.item_id
-  WHERE least(octet_length(encode(x.t)), octet_length(encode(y.t))) >= 0.8 * greatest(octet_length(encode(x.t)), octet_length(encode(y.t)))),
-c AS (SELECT x.item_id AS a, y.item_id AS b, sum(least(x.n, y.n)) AS shared FROM g x JOIN g y ON x.g = y.g AND x.item_id < y.item_id GROUP BY 1, 2)
-SELECT a, b, round((2.0 * shared / total)::DOUBLE, 6) AS score FROM p JOIN c USING (a, b)"""
+FUZZY_PAIRS_DICE = r"""WITH b AS (SELECT item_id AS id, text AS t FROM benchmark), d AS (SELECT doc_id AS id, text AS t FROM documents),
+p AS (SELECT b.id AS a, d.id AS b, b.t AS ta, d.t AS tb FROM b JOIN d ON least(octet_length(encode(b.t)), octet_length(encode(d.t))) >= 0.8 * greatest(octet_length(encode(b.t)), octet_length(encode(d.t)))),
+x AS (SELECT DISTINCT a, regexp_replace(ta, '\s+', '', 'g') AS s FROM p), y AS (SELECT DISTINCT b, regexp_replace(tb, '\s+', '', 'g') AS s FROM p),
+g AS (SELECT a, substr(s, i, 2) AS g, count(*) AS n FROM x, LATERAL (SELECT unnest(range(1, length(s))) AS i) r GROUP BY 1, 2),
+h AS (SELECT b, substr(s, i, 2) AS g, count(*) AS n FROM y, LATERAL (SELECT unnest(range(1, length(s))) AS i) r GROUP BY 1, 2),
+c AS (SELECT g.a, h.b, sum(least(g.n, h.n)) AS shared FROM g JOIN h ON g.g = h.g GROUP BY 1, 2)
+SELECT p.a, p.b, round((2.0 * coalesce(shared, 0) / (length(x.s) - 1 + length(y.s) - 1))::DOUBLE, 6) AS score FROM p JOIN x USING (a) JOIN y USING (b) LEFT JOIN c ON p.a = c.a AND p.b = c.b"""
 
 
 def grading(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +217,7 @@ QUERIES = {
     for f, sql in (
         (content_search_topk, CONTENT_SEARCH_TOPK), (usage_word_boundary, USAGE_WORD_BOUNDARY), (regex_search, REGEX_SEARCH), (relaxed_phrase, RELAXED_PHRASE),
         (multi_symbol_search, MULTI_SYMBOL_SEARCH), (defs_union_usages, DEFS_UNION_USAGES), (search_totals, SEARCH_TOTALS), (facet_counts, FACET_COUNTS),
-        (rank_score, RANK_SCORE), (classify_queries, CLASSIFY_QUERIES), (glob_files, GLOB_FILES), (file_types, FILE_TYPES), (suggest_levenshtein, SUGGEST_LEVENSHTEIN),
+        (rank_score, RANK_SCORE), (rank_terms, RANK_TERMS), (classify_queries, CLASSIFY_QUERIES), (glob_files, GLOB_FILES), (file_types, FILE_TYPES), (suggest_levenshtein, SUGGEST_LEVENSHTEIN),
         (external_set_difference, EXTERNAL_SET_DIFFERENCE), (fuzzy_pairs_dice, FUZZY_PAIRS_DICE), (grading, GRADING),
     )
 }

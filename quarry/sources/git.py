@@ -55,6 +55,13 @@ def log(spark: SparkSession, root: str, span: str, n: int = 20) -> DataFrame:
     )
 
 
+def history(spark: SparkSession, root: str, span: str, n: int = 20) -> DataFrame:
+    """patch_id (0 for the newest), commit, text: the patch of each commit of a range, for diff.diff_lines."""
+    commits = (git(root, "log", f"-n{n}", "--format=%H", span) or "").split()
+    rows = [(i, c, git(root, "show", "--no-color", "--find-renames", "--format=", c) or "") for i, c in enumerate(commits)]
+    return spark.createDataFrame(rows, "patch_id long, commit string, text string")
+
+
 def status(root: str, deadline: float = 0.2) -> tuple[str | None, int | None]:
     """Branch and number of changed files; None for what is late."""
     branch, changed = git(root, "rev-parse", "--abbrev-ref", "HEAD", deadline=deadline), git(root, "status", "--porcelain", deadline=deadline)

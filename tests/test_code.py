@@ -159,3 +159,75 @@ def test_broken_files():
     ruby = facts.facts_of("class A\n  def b\n    c(1)\n  end\nend\n", "ruby")
     assert [(s.name, s.end, [c.name for c in s.children]) for s in ruby.symbols] == [("A", 5, ["b"])]
     assert facts.identifiers("let a = 'b'; // c\n\"d\" e<'f>()", "rust") >= {"let", "a", "e"}
+
+
+def test_two_hops_and_sections(base):
+    rows = names(base.callees_two_hops("src/pkg/box.py", "outer"), "hop", "name") if base.symbols.where("name = 'outer'").count() else []
+    assert len(rows) == len(set(rows))
+    text = lambda *span: "\n".join(r["text"] for r in base.read(*span).collect())
+    cost = lambda t: -(-len(t.encode()) // 4)
+    first, big, last = text("src/lib.rs", 2, 3), text("docs/guide.md"), text("src/lib.rs", 1, 1)
+    assert cost(big) > cost(last)
+    got = base.read_sections([("src/lib.rs", 2, 3), ("docs/guide.md", 1, 400), ("src/lib.rs", 1, 1)], budget=cost(first) + cost(last)).collect()
+    assert [(r["nth"], r["text"], r["shown"]) for r in got] == [(0, first, True), (1, f"[skipped: {cost(big)} tokens]", False), (2, last, True)]
+    assert base.at("src/pkg/box.py", base.symbols.where("path = 'src/pkg/box.py' AND name = 'open'").first()["start_line"]).first()["name"] == "open"
+    assert base.body("src/pkg/util.py", "helper").count() >= 2 and not base.body("src/pkg/box.py", "open").first()["wraps"]
+
+
+def test_labels(spark):
+    from quarry.functions import rules
+    from quarry.functions import text as T
+    from quarry.operators import diff
+
+    df = spark.createDataFrame([(12,), (1234,), (999_949,), (999_950,)], "n long")
+    assert [r[0] for r in df.select(T.map_label(F.col("n"))).collect()] == ["12", "1.2k", "999.9k", "1.0M"]
+    row = df.select(T.header(F.lit("a/b.rs"), F.lit(4800), F.lit(7), F.lit("full")), T.anchor_parts(F.lit("17:0aF")), T.anchor_parts(F.lit("17:xyz")), rules.short_kind(F.lit("interface")), rules.short_kind(F.lit("module")), diff.marker(F.lit("moved"), F.lit("exact")), diff.marker(F.lit("added"), F.lit("ambiguous")), diff.change_label(F.lit("body_changed"))).first()
+    assert (row[0], tuple(row[1]), row[2], *row[3:]) == ("# a/b.rs (7 lines, ~1.2k tokens) [full]", (17, 0xAF), None, "trait", "", "[↦]", "[?→]", "body changed")
+
+
+@pytest.mark.parametrize("line, lang, want", [("use a::b::{c, d};", "rust", "a::b"), ("use crate::m3::f;", "rust", "crate::m3::f"), ("from .x import y", "python", ".x"), ("import os.path as p", "python", "os.path"), ('#include <a.h>', "c", "<a.h>"), ('#include "b.h"', "cpp", '"b.h"'), ("import { a } from './m';", "typescript", "./m"), ('import "side";', "javascript", "side"), ('import "fmt"', "go", "fmt"), ("import java.util.List;", "java", "java.util.List"), ("alias Foo.Bar, as: B", "elixir", "Foo.Bar"), ("source './lib.sh'", "bash", "./lib.sh"), (". $HOME/x", "bash", "")])
+def test_import_sources(spark, line, lang, want):
+    from quarry.functions import rules
+
+    assert spark.range(1).select(rules.import_source(F.lit(line), F.lit(lang))).first()[0] == want
+
+
+def test_diff_filters(spark):
+    from quarry.operators import diff
+
+    changes = spark.createDataFrame([("a/x.py", "run", "added"), ("a/x.py", "stop", "deleted"), ("b/x.py", "Run2", "added")], "path string, name string, change string")
+    rows = spark.createDataFrame([("a/x.py", "stop", "+ RUNNER"), ("b/x.py", "other", "+ y")], "path string, name string, content string")
+    assert {(r["path"], r["name"]) for r in diff.holding(changes, rows, "run").collect()} == {("a/x.py", "run"), ("a/x.py", "stop"), ("b/x.py", "Run2")}
+    assert diff.in_scope(changes, "a/x.py:run").count() == 1 and diff.in_scope(changes, "x.py").count() == 3
+    files = spark.createDataFrame([(0, "a/x.py", None, "modified", False), (1, "a/x.py", "o", "renamed", False)], "file_id int, path string, old_path string, status string, is_binary boolean")
+    got = {(r["path"], r["name"]): r["status"] for r in diff.with_files(changes, files).collect()}
+    assert got[("a/x.py", "run")] == "modified" and got[("b/x.py", "Run2")] is None
+    some = spark.createDataFrame([("b", 3), ("a", 5), ("b", 1), ("c", 2)], "name string, pos int")
+    assert [r["name"] for r in diff.first_of(some, ["name"], "pos").collect()] == ["b", "c", "a"]
+
+
+def test_reachable(spark):
+    from quarry.operators import graph
+
+    edges = [(f"a{i}", f"a{(i + 1) % 3}") for i in range(3)] + [(f"l{i}.{a}", f"l{i + 1}.{b}") for i in range(26) for a in "xy" for b in "xy"] + [(f"c{i}", f"c{i + 1}") for i in range(80)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    start = spark.createDataFrame([("a0",), ("l0.x",), ("c0",)], "node string")
+    got = {r["node"]: r["hop"] for r in graph.reachable(df, start).collect()}
+    want = {"a0": 0, "a1": 1, "a2": 2, "l0.x": 0, **{f"l{i}.{a}": i for i in range(1, 27) for a in "xy"}, **{f"c{i}": i for i in range(81)}}
+    assert got == want and graph.reachable(df, start.limit(0)).count() == 0
+
+
+def test_ignore_files_and_links(spark, tmp_path):
+    from quarry.sources import codefs
+
+    for path, text in {"a.py": "x", "b.log": "x", "sub/c.log": "x", "sub/keep.log": "x", "sub/deep/d.py": "x", ".idea/e.py": "x", "gen/f.py": "x"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    (tmp_path / ".gitignore").write_text("# made\n*.log\n!keep.log\n/gen/\n")
+    (tmp_path / "sub/.gitignore").write_text("deep/\n")
+    (tmp_path / "linked").symlink_to(tmp_path.parent)
+    paths = lambda **o: {r["path"] for r in codefs.tree(spark, str(tmp_path), **o).select("path").collect()}
+    assert paths(ignore="true", links="false", hidden="false", device="true") == {"a.py", "sub/keep.log"}
+    assert paths(links="false", hidden="false") == {"a.py", "b.log", "sub/c.log", "sub/keep.log", "sub/deep/d.py", "gen/f.py"}
+    raw = spark.createDataFrame([("p", b"one\ntwo\xc3\xa9\n\xff bad\nfour")], "path string, content binary")
+    assert [(r["line"], r["text"]) for r in codefs.readable_lines(raw).orderBy("line").collect()] == [(1, "one"), (2, "twoé")]
