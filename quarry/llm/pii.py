@@ -58,11 +58,9 @@ ENTITY = "|".join(PATTERNS.values())
 TITLES = [t.replace("\\.", ".") for t in f"{MALE}|{FEMALE}".split("|")] + ["Dr.", "Prof.", "Mx.", "y name is", "ch heiße", "e m'appelle", "e llamo"]
 TYPES = list(PATTERNS)
 
-SYLLABLES = {
-    "latin": ("ba be bi bo da de di do fa fe fi fo ga ge gi go ka ke ki ko la le li lo ma me mi mo na ne ni no".split(), ("n", "r"), ("a", "ine")),
-    "cyrillic": ("ба бе би бо да де ди до фа фе фи фо га ге ги го ка ке ки ко ла ле ли ло ма ме ми мо на не ни но".split(), ("н", "р"), ("а", "ина")),
-    "greek": ("βα βε βι βο δα δε δι δο φα φε φι φο γα γε γι γο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο".split(), ("ν", "ρ"), ("α", "ινα")),
-}
+#: By script: consonants and vowels, of which syllables are made; endings of names without and with a female form.
+LETTERS = {"latin": ("bdfgklmn", "aeio", ("n", "r"), ("a", "ine")), "cyrillic": ("бдфгклмн", "аеио", ("н", "р"), ("а", "ина")), "greek": ("βδφγκλμν", "αειο", ("ν", "ρ"), ("α", "ινα"))}
+SYLLABLES = {script: ([c + v for c in consonants for v in vowels], plain, female) for script, (consonants, vowels, plain, female) in LETTERS.items()}
 
 
 def kind(e: Column) -> Column:
