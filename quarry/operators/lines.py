@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from ..sources.cuts import cut
 
 
 def lines(files: DataFrame, key: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -96,9 +97,21 @@ def diverse_lines(rows: DataFrame, key: list[str], query: str | None = None, mos
 
 
 def within_budget(rows: DataFrame, key: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
-    """Rows while the running cost stays within the budget; adds running."""
-    over = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(cost).over(over)).where(F.col("running") <= budget)
+    """Rows while the running cost stays within the budget; adds running.  Order is total within a key.
+
+    Sums are taken in two levels, within ranges of the order and over ranges, so that a key with most rows is spread.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(n, *key, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy(*key, "_part").agg(F.sum(cost).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    base = base.where(F.col("_base") <= budget).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_part").alias("_p"), "_base")
+    on = F.col("_part") == F.col("_p")
+    for k in key:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    over = Window.partitionBy(*key, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(base, on).withColumn("running", F.col("_base") + F.sum(cost).over(over)).where(F.col("running") <= budget)
+    return out.select(*rows.columns, "running")
 
 
 def headings(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -97,7 +97,7 @@ VIEW_LADDER = f"""SELECT CASE WHEN text = '' THEN 'empty' WHEN octet_length(enco
 
 
 def token_budget_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = C.files(spark, sf_dir).withColumn("tokens", T.token_estimate(F.col("text")))
+    f = C.files(spark, sf_dir).select("source", "path", T.token_estimate(F.col("text")).alias("tokens"))
     return lines.within_budget(f, ["source"], ["path"], "tokens", 24_000).select("source", "path", "tokens", "running")
 
 
