@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -89,7 +89,7 @@ def fuzzy_pairs(old: DataFrame, new: DataFrame, least: float = LIKE) -> DataFram
     a, b = old.select(F.struct("*").alias("old")), new.select(F.struct("*").alias("new"))
     la, lb = F.octet_length("old.source_text"), F.octet_length("new.source_text")
     near = a.join(b, (F.col("old.path") == F.col("new.path")) & (F.col("old.kind") == F.col("new.kind")) & (F.least(la, lb) >= least * F.greatest(la, lb)))
-    scored = near.withColumn("score", T.dice(T.bigrams(F.col("old.source_text")), T.bigrams(F.col("new.source_text")))).where(F.col("score") >= least)
+    scored = near.withColumn("score", likeness(F.col("old.source_text"), F.col("new.source_text"))).where(F.col("score") >= least)
     order = F.struct((-F.col("score")).alias("s"), F.col("old.start_line").alias("o"), F.col("new.start_line").alias("n"), F.col("old.id").alias("a"), F.col("new.id").alias("b"))
     grouped = scored.groupBy(F.col("old.path").alias("p"), F.col("old.kind").alias("k")).agg(F.array_sort(F.collect_list(order)).alias("c"))
     start = F.array().cast("array<struct<s:double,o:int,n:int,a:bigint,b:bigint>>")
@@ -105,6 +105,23 @@ def pair_counts(text: str) -> tuple[Counter, int]:
     return Counter(map("".join, pairwise(s))), max(0, len(s) - 1)
 
 
+def scores(a: Iterable[str], b: Iterable[str]) -> list[float]:
+    """Sorensen-Dice of character pairs of texts side by side; 1 for two without any."""
+    counts, out = lru_cache(4096)(pair_counts), []
+    for ta, tb in zip(a, b, strict=True):
+        (ca, na), (cb, nb) = counts(ta), counts(tb)
+        if len(cb) < len(ca):
+            ca, cb = cb, ca
+        shared = sum(min(n, cb[g]) for g, n in ca.items() if g in cb)
+        out.append(2.0 * shared / (na + nb) if na + nb else 1.0)
+    return out
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """scores as a column, in Arrow batches."""
+    return F.pandas_udf(lambda x, y: pd.Series(scores(x.fillna(""), y.fillna(""))), "double")(a, b)
+
+
 def similar_texts(old: DataFrame, new: DataFrame, ratio: float = LIKE) -> DataFrame:
     """(a, b, score): Sorensen-Dice of all pairs of an old and a new item (id, text) whose lengths are within the ratio, pairs without a shared character pair too.
 
@@ -116,19 +133,7 @@ def similar_texts(old: DataFrame, new: DataFrame, ratio: float = LIKE) -> DataFr
     x = x.withColumn("band", F.explode(F.array(*(band(la) + k for k in (-1, 0, 1)))))
     near = x.join(y.withColumn("_band", band(lb)), (F.col("band") == F.col("_band")) & (F.least(la, lb) >= ratio * F.greatest(la, lb)))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = lru_cache(4096)(pair_counts)
-        for frame in frames:
-            scores = []
-            for ta, tb in zip(frame["ta"], frame["tb"], strict=True):
-                (ca, na), (cb, nb) = counts(ta), counts(tb)
-                if len(cb) < len(ca):
-                    ca, cb = cb, ca
-                shared = sum(min(n, cb[g]) for g, n in ca.items() if g in cb)
-                scores.append(2.0 * shared / (na + nb) if na + nb else 1.0)
-            yield frame[["a", "b"]].assign(score=scores)
-
-    return near.mapInPandas(run, "a long, b long, score double")
+    return near.select("a", "b", likeness(F.col("ta"), F.col("tb")).alias("score"))
 
 
 def moves(changes: DataFrame) -> DataFrame:
