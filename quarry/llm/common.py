@@ -53,8 +53,12 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Deletes materialized tables that no later step reads."""
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._quarry_path)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, table._quarry_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -195,7 +195,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, width: int = WIDTH, short: int = SHORT, which: int = 0, mask: int = WHOLE[0]) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t, start, length, source, source_t, source_start): passages repeated from a smaller document, as far as hashes
-    tell; and (doc_id, t, cell, words) of the sources."""
+    tell; and (source, source_t, cell, words): the words of the sources.  Both are written tables."""
     docs = _keyed(docs).where("doc_id is not null")
     seen = common.materialize(_seen(docs, width, short, which, mask), "paths")
     shared = common.materialize(seen.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "shared-anchors")
@@ -233,19 +233,22 @@ def spans(docs: DataFrame, width: int = WIDTH, short: int = SHORT, which: int =
     runs = runs.agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start") + (width - 1)).alias("length"))
     out = common.materialize(runs.select("doc_id", "t", "start", "length", "source", "source_t", (F.col("start") + F.col("lag")).alias("source_start")), "spans")
     common.drop(parts)
-    return out, opened.where("cell IS NOT NULL").select("doc_id", "t", "cell", "words")
+    # a table of its own, so that a join with it can split a source that very many documents repeat
+    cells = opened.where("cell IS NOT NULL").dropDuplicates(["doc_id", "t", "cell"])
+    cells = common.materialize(cells.select(F.col("doc_id").alias("source"), F.col("t").alias("source_t"), "cell", "words"), "cells")
+    common.drop(opened)
+    return out, cells
 
 
 def _judged(docs: DataFrame, width: int, short: int, which: int, mask: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept, unlike (whether a span's words differ from its source's) for every row of docs."""
     found, cells = spans(docs, width, short, which, mask)
-    # a table of its own, so that the join below can split a source that very many documents repeat
-    cells = common.materialize(cells.dropDuplicates(["doc_id", "t", "cell"]).select(F.col("doc_id").alias("source"), F.col("t").alias("source_t"), "cell", "words"), "cells")
     cell = F.explode(F.sequence(F.floor(F.col("source_start") / CELL).cast("int"), F.floor((F.col("source_start") + F.col("length") - 1) / CELL).cast("int")))
     pieces = found.withColumn("cell", cell).join(cells.hint("merge"), ["source", "source_t", "cell"], "left")
     at = F.col("cell") * CELL - F.col("source_start") + F.col("start")  # of the cell's first word in the document
     pieces = pieces.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("start", "length", at.alias("at"), "words")).alias("pieces"))
     pieces = common.materialize(pieces, "pieces")
+    common.drop(found, cells)
     rows = _keyed(docs).join(pieces.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("t") == F.col("_t")), "left").select("doc_id", "text", "pieces")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +267,9 @@ def _judged(docs: DataFrame, width: int, short: int, which: int, mask: int) -> D
                 unlike.append(wrong)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(unlike, pa.bool_())], ["doc_id", "n_words", "n_removed", "kept", "unlike"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, unlike boolean")
+    out = common.materialize(rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, unlike boolean"), "kept")
+    common.drop(pieces)
+    return out
 
 
 def removed(docs: DataFrame, width: int = WIDTH, short: int = SHORT, masks: tuple[int, ...] = WHOLE) -> DataFrame:
@@ -273,9 +278,10 @@ def removed(docs: DataFrame, width: int = WIDTH, short: int = SHORT, masks: tupl
     masks: the bits of hashes that count in each attempt.
     """
     for which, mask in enumerate(masks):
-        found = common.materialize(_judged(docs, width, short, which, mask), "kept")
+        found = _judged(docs, width, short, which, mask)
         if found.where("unlike").isEmpty():
             return found.drop("unlike")
+        common.drop(found)
     raise ValueError("unlike passages have equal hashes in every attempt")
 
 

@@ -154,6 +154,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write(common.table(spark, sf_dir, "pages"), path)
     common.release(spark)
     found = common.materialize(read(spark, path).drop("payload"), "warc-records")
+    common.delete(spark, path)  # the query's own archives; write() keeps those that it is asked for
     originals = found.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), F.col("page_id").alias("_page"))
     match = (found["refers_to_id"] == originals["_id"]) & (found["payload_digest"] == originals["_digest"])
     return found.join(originals, match, "left").select(
