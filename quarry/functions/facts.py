@@ -312,7 +312,11 @@ FOUND = {
     "calls": "line int, callee string, caller string, call_text string, caller_start int, caller_end int",
     "members": "line int, name string",
     "identifiers": "name string",
+    "tests": "line int, depth int, kind string, name string",
+    "errors": "line int, kind string, detail string",
 }
+#: Those that need the symbols of a file.
+PARSED = {"symbols", "calls", "members"}
 
 
 def _symbols(text: str, lang: str, found: Facts) -> Iterator[tuple]:
@@ -332,6 +336,8 @@ def _calls(text: str, lang: str, found: Facts) -> Iterator[tuple]:
 MAKERS = {
     "symbols": _symbols, "calls": _calls, "members": lambda text, lang, found: iter(found.members),
     "identifiers": lambda text, lang, found: ((n,) for n in sorted(identifiers(text, lang))),
+    "tests": lambda text, lang, found: iter(test_outline(text) if lang in ("javascript", "typescript", "tsx") else ()),
+    "errors": lambda text, lang, found: iter(parse_errors(text, lang)),
 }
 
 
@@ -344,7 +350,7 @@ def scan(files: DataFrame, kinds: tuple[str, ...] = ("symbols", "calls", "member
         for batch in batches:
             out: dict[str, list] = {k: [] for k in kinds}
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = facts_of(text, lang) if {*kinds} - {"identifiers"} else Facts()
+                found = facts_of(text, lang) if PARSED & {*kinds} else Facts()
                 for k in kinds:
                     out[k].append([dict(zip(fields[k], row, strict=True)) for row in MAKERS[k](text, lang, found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], types[k]) for k in kinds)], ["path", *kinds])
@@ -392,6 +398,16 @@ def members(files: DataFrame) -> DataFrame:
     return of(scan(files, ("members",)), "members")
 
 
+def tests(files: DataFrame) -> DataFrame:
+    """Suites and tests of JavaScript and TypeScript files by nesting: path, line, depth, kind, name."""
+    return of(scan(files, ("tests",)), "tests")
+
+
+def errors(files: DataFrame) -> DataFrame:
+    """path, line, kind, detail of what does not parse, see parse_errors; for diff.new_errors."""
+    return of(scan(files, ("errors",)), "errors")
+
+
 def identifier_index(files: DataFrame) -> DataFrame:
     """An exact inverted index in place of a filter for each file: semi-join names against it."""
     return of(scan(files, ("identifiers",)), "identifiers")

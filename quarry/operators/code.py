@@ -76,7 +76,7 @@ class CodeBase:
     def symbol(self, name: str, context: str | None = None, n: int = search.MATCHES) -> DataFrame:
         """Definitions and usages of a name, by stratum and relevance."""
         own = self.definitions.where((F.col("def_name") == name) | ((rules.file_type(F.col("path")) == "markdown") & T.whole_identifier(F.col("text"), name)))
-        found = search.symbol_matches(own.withColumn("def_name", F.lit(name)), self.lines, name)
+        found = search.symbol_matches(search.distinct_definitions(own).withColumn("def_name", F.lit(name)), self.lines, name)
         return search.top(search.ranked(found, name, context=context), n)
 
     def symbol_totals(self, name: str) -> DataFrame:
@@ -151,10 +151,16 @@ class CodeBase:
         second = second.withColumn("_nth", nth).where("_nth = 1").orderBy("root_path", "root_line", "name", "path").limit(budget)
         return one.union(second.select(F.lit(2).alias("hop"), "via", "name", "path", "start_line", "end_line")).orderBy("hop", "path", "start_line")
 
-    def unresolved(self, path: str, name: str) -> DataFrame:
+    def footer(self, path: str, name: str) -> DataFrame:
+        """What is listed under a match of a definition: at most eight of those that it calls in two hops, itself left out."""
+        called = self.callees_two_hops(path, name).where(F.col("name") != name)
+        return graph.footer(called, path, [F.col("hop"), F.col("path"), F.col("start_line")])
+
+    def unresolved(self, path: str, name: str, known: DataFrame | None = None) -> DataFrame:
+        """Names that a definition calls and that resolve to none; known: its callees, if they are at hand."""
         own = self.symbols.where((F.col("path") == path) & (F.col("name") == name)).agg(F.min("start_line").alias("a"), F.min_by("end_line", "start_line").alias("b"))
         called = self.calls.where(F.col("path") == path).join(own, (F.col("line") >= F.col("a")) & (F.col("line") <= F.col("b"))).select(F.col("callee").alias("name")).distinct()
-        return called.join(self.callees(path, name), "name", "left_anti").orderBy("name")
+        return called.join(self.callees(path, name) if known is None else known, "name", "left_anti").orderBy("name")
 
     def deps(self, path: str, parts: tuple[str, ...] = ("local", "external", "used_by")) -> dict[str, DataFrame]:
         """Local files that a file uses with the symbols it calls there, external imports, and who uses it; only the parts asked for are worked out."""
@@ -188,9 +194,10 @@ class CodeBase:
         sites = sites.select("path", "line", F.col("caller").alias("name"), F.col("call_text").alias("detail"), T.is_test_path(F.col("path")).alias("t"))
         tag = lambda df, part, n: df.orderBy("path", "line", "name").limit(n).select(F.lit(part).alias("part"), "path", F.col("line").cast("int").alias("line"), "name", "detail")
         one = spark.createDataFrame([(path, target["line"], name, target["detail"])], "path string, line int, name string, detail string")
-        callees = self.callees(path, name).where(F.col("name") != name).select("path", F.col("start_line").alias("line"), "name", F.col("signature").alias("detail"))
+        called = cut(self.callees(path, name))
+        callees = called.where(F.col("name") != name).select("path", F.col("start_line").alias("line"), "name", F.col("signature").alias("detail"))
         none = F.lit(None).cast("string")
-        outside = self.unresolved(path, name).select(none.alias("path"), F.lit(None).cast("int").alias("line"), "name", none.alias("detail"))
+        outside = self.unresolved(path, name, called).select(none.alias("path"), F.lit(None).cast("int").alias("line"), "name", none.alias("detail"))
         beside = graph.peers(self.symbols, path, name, caps["siblings"]).select("path", F.col("start_line").alias("line"), "name", F.col("signature").alias("detail"))
         out = tag(one, "target", 1)
         for df, part, n in ((callees, "callees", caps["callees"]), (outside, "external", caps["callees"]), (sites.where("NOT t"), "callers", caps["callers"]), (sites.where("t"), "tests", caps["tests"]), (beside, "siblings", caps["siblings"])):
@@ -246,7 +253,8 @@ class CodeBase:
         """The lines of a definition, and whether it only wraps one other: at most ten lines that call one known definition and nothing else."""
         own = self._own(path, name)
         inside = (F.col("l.path") == F.col("o.path")) & (F.col("line") >= F.col("start_line")) & (F.col("line") <= F.col("end_line"))
-        known, unknown = self.callees(path, name).where(F.col("name") != name), self.unresolved(path, name)
+        called = cut(self.callees(path, name))
+        known, unknown = called.where(F.col("name") != name), self.unresolved(path, name, called)
         counts = known.agg(F.count("*").alias("known")).join(unknown.agg(F.count("*").alias("unknown")), how="cross")  # one row each
         rows = self.lines.alias("l").join(own.alias("o"), inside).join(counts, how="cross")
         wraps = (F.col("end_line") - F.col("start_line") < 10) & (F.col("known") == 1) & (F.col("unknown") == 0)
@@ -273,7 +281,7 @@ class CodeBase:
         hot = self.resolved.select("path", "target", F.col("source").alias("symbol"))
         marks = {"pytest": "def test_", "unittest": "unittest.TestCase", "jest": "describe(", "rust": "#[test]", "go": "func Test", "junit": "@Test"}
         style = self.searched.agg(*[F.coalesce(F.bool_or(F.contains("text", F.lit(m))), F.lit(False)).alias(k) for k, m in marks.items()])
-        return {"languages": rollup.histogram(f, "lang"), "modules": rollup.modules(f), "manifests": documents.manifests(self.files), "hot": graph.hot_targets(hot), "tests": style}
+        return {"languages": rollup.histogram(f, "lang"), "modules": rollup.module_names(f), "manifests": documents.manifests(self.files), "hot": graph.hot_targets(hot), "tests": style}
 
     # --- changes ---
 

@@ -143,7 +143,7 @@ def moves(changes: DataFrame) -> DataFrame:
     pairs = side("deleted").join(side("added"), key).where("n_deleted = 1 AND n_added = 1 AND deleted_path <> added_path").select(*key, F.col("deleted_path").alias("old_path"))
     out = changes.join(pairs, key, "left")
     is_move = F.col("old_path").isNotNull() & F.col("change").isin("deleted", "added")
-    return out.withColumn("change", F.when(is_move, "moved").otherwise(F.col("change"))).withColumn("old_path", F.when(is_move, F.col("old_path")))
+    return out.withColumns({"change": F.when(is_move, "moved").otherwise(F.col("change")), "old_path": F.when(is_move, F.col("old_path"))})
 
 
 def signature_warnings(changes: DataFrame) -> DataFrame:

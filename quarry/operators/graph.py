@@ -32,6 +32,19 @@ def impact(calls: DataFrame, targets: DataFrame, fan_out: int = 10, shown: int |
     return first.unionByName(second)
 
 
+def impact_totals(sites: DataFrame) -> DataFrame:
+    """One row for impact's sites: callers (distinct names at hop 1), sites (at hop 1), indirect (distinct callers and files at hop 2)."""
+    at = lambda hop, *columns: F.count_distinct(F.when(F.col("hop") == hop, F.struct(*columns)))
+    return sites.agg(at(1, "caller").alias("callers"), F.count_if(F.col("hop") == 1).alias("sites"), at(2, "caller", "path").alias("indirect"))
+
+
+def footer(called: DataFrame, path: str, order: list[Column], n: int = 8) -> DataFrame:
+    """What is shown of the definitions that a match calls: all up to n of them, else those of other files first, each in order."""
+    rows = called.withColumn("_total", F.count("*").over(Window.partitionBy(F.lit(0))))  # those of one definition
+    own = F.when(F.col("_total") > n, F.col("path") == path).otherwise(F.lit(False))
+    return rows.orderBy(own, *order).limit(n).drop("_total")
+
+
 def ranked_callers(sites: DataFrame, context: str | None = None) -> DataFrame:
     """Context file first, then by depth, path and line."""
     return sites.orderBy(F.when(F.col("path") == (context or ""), 0).otherwise(1), F.size(F.split("path", "/")), "path", "line")

@@ -31,12 +31,36 @@ def primary(files: DataFrame, group: str, column: str) -> DataFrame:
     return counts.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
-def modules(files: DataFrame, least: int = 2, n: int = 10) -> DataFrame:
-    """Directories with at least so many files of the tree's primary language."""
+def modules(files: DataFrame, least: int = 2, n: int | None = 10) -> DataFrame:
+    """Directories with at least so many files of the tree's primary language; the first n by files, then name."""
     counts = files.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("c"))
     main = counts.orderBy(F.desc("c"), "lang").limit(1).select(F.col("lang").alias("_main"))
     own = files.join(main, files["lang"] == main["_main"]).withColumn("dir", T.dirname(F.col("path")))
-    return own.where("dir <> ''").groupBy("dir").agg(F.count("*").alias("files")).where(F.col("files") >= least).orderBy(F.desc("files"), "dir").limit(n)
+    found = own.where("dir <> ''").groupBy("dir").agg(F.count("*").alias("files")).where(F.col("files") >= least)
+    return found if n is None else found.orderBy(F.desc("files"), "dir").limit(n)
+
+
+# Directories that hold no modules.
+NON_SOURCE = (
+    "test", "tests", "__tests__", "spec", "specs", "doc", "docs", "docs_src", "documentation", "example", "examples", "sample", "samples", "script",
+    "scripts", "tools", "fixtures", "benchmark", "benchmarks", "bench", ".github", ".vscode", ".idea", "vendor", "node_modules", "target", "dist", "build",
+)
+
+
+def module_names(files: DataFrame, least: int = 2, n: int = 10) -> DataFrame:
+    """modules for display: name, files.
+
+    A first directory that all of them share is left out of their names, and so is the module that is that directory
+    itself; modules within directories that hold no source are left out.  The first n by files, then name.
+    """
+    found = modules(files, least, None)
+    top = F.substring_index("dir", "/", 1)
+    shared = found.agg(F.min(top).alias("_a"), F.max(top).alias("_b"), F.max(F.contains("dir", F.lit("/"))).alias("_deep"), F.count("*").alias("_n"))
+    shared = shared.select(F.when((F.col("_a") == F.col("_b")) & F.col("_deep") & (F.col("_n") > 1), F.col("_a")).alias("_top"))
+    rest = F.when(F.col("_top").isNull(), F.col("dir")).when(F.col("dir") != F.col("_top"), F.expr("substring(dir, length(_top) + 2)"))
+    named = found.join(shared, how="cross").select(rest.alias("name"), "files").where("name IS NOT NULL")  # shared is one row
+    no_source = F.exists(F.split(F.lower("name"), "/"), lambda part: part.isin(*NON_SOURCE))
+    return named.where(~no_source).orderBy(F.desc("files"), "name").limit(n)
 
 
 def package_roots(files: DataFrame, manifests: list[str]) -> DataFrame:

@@ -54,6 +54,11 @@ def without_definitions(used: DataFrame, defined: DataFrame) -> DataFrame:
     return used.join(defined.select("path", "line").distinct(), ["path", "line"], "left_anti")
 
 
+def distinct_definitions(definitions: DataFrame) -> DataFrame:
+    """Each definition once: equal in file, line, span, name and the type that it implements."""
+    return definitions.dropDuplicates(["path", "line", "start_line", "end_line", "def_name", "impl_target"])
+
+
 def symbol_matches(definitions: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """Definitions of a name, and its usages elsewhere: path, line, text, is_definition, def_weight, def_name."""
     own = definitions.where(F.col("def_name") == name)

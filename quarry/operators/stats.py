@@ -72,6 +72,19 @@ def compared(rows: DataFrame, keys: list[str], side: str, old: str, new: str, va
     return by.where("old IS NOT NULL AND new IS NOT NULL").withColumn("delta_percent", delta_percent(F.col("old"), F.col("new")))
 
 
+def version_report(runs: DataFrame, keys: list[str], side: str, old: str, new: str, correct: str, cost: str) -> DataFrame:
+    """For each group in both versions: runs, share that is right, median cost, its change in percent, and a verdict; right answers count before cost."""
+    by = runs.groupBy(*keys).pivot(side, [old, new]).agg(F.count(F.lit(1)).alias("runs"), F.avg(F.col(correct).cast("int")).alias("accuracy"), F.median(cost).alias("median"))
+    v = lambda s, c: F.col(f"{s}_{c}")
+    verdict = (
+        F.when(v(new, "accuracy") > v(old, "accuracy"), "better").when(v(new, "accuracy") < v(old, "accuracy"), "worse")
+        .when(v(new, "median") < v(old, "median"), "cheaper").when(v(new, "median") > v(old, "median"), "dearer").otherwise("same")
+    )
+    numbers = [v(s, c) if c == "runs" else F.round(v(s, c), 6).alias(f"{s}_{c}") for c in ("runs", "accuracy", "median") for s in (old, new)]
+    change = F.round(delta_percent(v(old, "median"), v(new, "median")), 6)
+    return by.where(v(old, "runs").isNotNull() & v(new, "runs").isNotNull()).select(*keys, *numbers, change.alias("delta_percent"), verdict.alias("verdict"))
+
+
 def zipped(old: DataFrame, new: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """Pairs old and new rows of a group by place; rows without a partner fall out."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("nth")

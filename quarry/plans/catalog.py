@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, code, relations, searches
+from . import blocks, code, details, relations, searches
 
 
 def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,6 @@ def _wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return run
 
 
-_all = searches.QUERIES | blocks.QUERIES | relations.QUERIES | code.QUERIES
+_all = searches.QUERIES | blocks.QUERIES | relations.QUERIES | code.QUERIES | details.QUERIES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _wide(f) for name, (f, _) in _all.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _all.items() if sql}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 BATCH = 20
+MODES = ("create", "overwrite", "append")
 
 
 def problems(batch: DataFrame, root: str, most: int = BATCH) -> list[str]:
@@ -49,10 +50,21 @@ def write(path: str, text: str, mode: str = "create") -> None:
 
 
 def write_back(batch: DataFrame, root: str, mode: str = "overwrite") -> int:
-    """Writes a checked batch of at most BATCH files (path, text) from the driver; returns how many."""
+    """Writes a checked batch of at most BATCH files (path, text) from the driver; returns how many.
+
+    A column mode gives a file its own mode; where it is null or missing, mode holds.
+    """
     if found := problems(batch, root):
         raise ValueError("; ".join(found))
-    rows = batch.limit(BATCH).collect()
+    own = F.col("mode") if "mode" in batch.columns else F.lit(None).cast("string")
+    rows = batch.select("path", "text", F.coalesce(own, F.lit(mode)).alias("mode")).limit(BATCH).collect()
+    if unknown := sorted({r["mode"] for r in rows} - {*MODES}):
+        raise ValueError(f"modes are {', '.join(MODES)}, not {', '.join(unknown)}")
     for r in rows:
-        write(os.path.join(root, r["path"]), r["text"], mode)
+        write(os.path.join(root, r["path"]), r["text"], r["mode"])
     return len(rows)
+
+
+def as_json(query: str, rows: DataFrame) -> DataFrame:
+    """json: a row of a result as one JSON object with the query it answers, for spark.write.text or a pager."""
+    return rows.select(F.to_json(F.struct(F.lit(query).alias("query"), F.struct(*rows.columns).alias("result"))).alias("json"))
