@@ -52,19 +52,29 @@ def small_table():
     return rows
 
 
-def fingerprint(text):
+def fingerprint(text, nth):
     w = (text or "").encode().lower().split()
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))] if w else []
+    h = [mixed(x, nth) for x in h]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
 
+def mixed(x, nth):
+    if nth == 0:
+        return x
+    x = (x + nth * 0x9E3779B97F4A7C15) % 2**64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
 def kept_by_rule(rows):
     rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
-    marks, label = [fingerprint(r[1]) for r in rows], list(range(len(rows)))
+    marks, label = [[fingerprint(r[1], s) for s in range(4)] for r in rows], list(range(len(rows)))
     for _ in rows:
         for i, a in enumerate(marks):
             for j, b in enumerate(marks):
-                if bin(a ^ b).count("1") <= 4:
+                if any(bin(x ^ y).count("1") <= 4 for x, y in zip(a, b, strict=True)):
                     label[i] = label[j] = min(label[i], label[j])
     best: dict = {}
     for r, k in zip(rows, label, strict=True):
