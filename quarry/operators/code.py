@@ -73,8 +73,8 @@ class CodeBase:
 
     # --- searches ---
 
-    def symbol(self, name: str, context: str | None = None, n: int = search.MATCHES) -> DataFrame:
-        """Definitions and usages of a name, by stratum and relevance."""
+    def symbol(self, name: str, context: str | None = None, n: int | None = search.MATCHES) -> DataFrame:
+        """Definitions and usages of a name, by stratum and relevance: the n first, all for None."""
         own = self.definitions.where((F.col("def_name") == name) | ((rules.file_type(F.col("path")) == "markdown") & T.whole_identifier(F.col("text"), name)))
         found = search.symbol_matches(search.distinct_definitions(own).withColumn("def_name", F.lit(name)), self.lines, name)
         return search.top(search.ranked(found, name, context=context), n)

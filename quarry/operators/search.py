@@ -76,9 +76,10 @@ def ranked(matches: DataFrame, q: str, now: Column | None = None, context: str |
     return out.withColumn("stratum", ranking.stratum(F.col("is_definition"), weight)) if "is_definition" in have else out.withColumn("stratum", F.lit(2))
 
 
-def top(matches: DataFrame, n: int = MATCHES) -> DataFrame:
-    """The n first by stratum, score, path, line."""
-    return matches.orderBy("stratum", F.desc("score"), "path", "line").limit(n)
+def top(matches: DataFrame, n: int | None = MATCHES) -> DataFrame:
+    """The n first by stratum, score, path, line; all for None."""
+    first = matches.orderBy("stratum", F.desc("score"), "path", "line")
+    return first if n is None else first.limit(n)
 
 
 def facet(path: Column, text: Column, is_definition: Column, package: Column, home: str | None) -> Column:

@@ -109,8 +109,8 @@ SELECT name, count(DISTINCT i) AS files FROM n WHERE name IS NOT NULL GROUP BY n
 
 
 def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definitions and usages of a name, ranked."""
-    return _base(spark, sf_dir).symbol("f5", n=1000).select("path", "line", "is_definition", "stratum", "score")
+    """Every definition and usage of a name, ranked."""
+    return _base(spark, sf_dir).symbol("f5", n=None).select("path", "line", "is_definition", "stratum", "score")
 
 
 SYMBOL_SEARCH = f"""WITH {FILES_SQL}, d AS (SELECT i, path, CASE i % 3 WHEN 0 THEN 10 WHEN 1 THEN 9 ELSE 7 END AS line FROM files WHERE i = 5),

@@ -51,3 +51,12 @@ def test_fuzzy_pairs_dice_scores_whole_texts(spark, tmp_path):
     assert want[1, 10] == 1 and want[3, 12] == 0
     got = {(r["a"], r["b"]): r["score"] for r in catalog.QUERIES["fuzzy_pairs_dice"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_symbol_search_returns_every_match(spark, tmp_path):
+    spark.range(7400).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    suffix, call = {0: "src/m{}.py", 1: "src/m{}.rs", 2: "web/m{}.js"}, {0: 5, 1: 5, 2: 4}
+    want = [("web/m5.js", 7, True)] + [(suffix[i % 3].format(i), call[i % 3], False) for i in range(5, 7400, 7)]
+    assert len(want) > 1000
+    got = [(r["path"], r["line"], r["is_definition"]) for r in catalog.QUERIES["symbol_search"](spark, str(tmp_path)).collect()]
+    assert got == want[:1] + sorted(want[1:])
