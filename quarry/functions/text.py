@@ -144,8 +144,9 @@ def shared_depth(a: Column, b: Column) -> Column:
 
 
 def recency(mtime: Column, now: Column) -> Column:
-    """100, 80, 50, 20 or 0 by age: an hour, a day, a week, 30 days."""
-    age = F.unix_timestamp(now) - F.unix_timestamp(mtime)
+    """100, 80, 50, 20 or 0 by age: an hour, a day, a week, 30 days.  Each time counts to its nearest second, halves to the even one."""
+    seconds = lambda t: F.rint(F.unix_micros(t.cast("timestamp")) / F.lit(1e6)).cast("long")
+    age = seconds(now) - seconds(mtime)
     return F.when(age < 3600, 100).when(age < 86400, 80).when(age < 604800, 50).when(age < 2592000, 20).otherwise(0)
 
 

@@ -1,5 +1,10 @@
 """Queries do the whole job: results on small fixtures against brute force."""
 
+from collections import Counter
+from fractions import Fraction
+
+import duckdb
+
 from quarry.plans import catalog
 
 
@@ -60,3 +65,16 @@ def test_symbol_search_returns_every_match(spark, tmp_path):
     assert len(want) > 1000
     got = [(r["path"], r["line"], r["is_definition"]) for r in catalog.QUERIES["symbol_search"](spark, str(tmp_path)).collect()]
     assert got == want[:1] + sorted(want[1:])
+
+
+def test_recency_buckets_round_to_seconds(spark, tmp_path):
+    limits, day = {3600: 100, 86400: 80, 604800: 50, 2592000: 20}, 1_704_067_200
+    for now in (261_702, 500_000, 750_000, 1_500_000):
+        folder, fractions = f"{tmp_path}/{now}", (0, 1, 499_999, 500_000, 500_001, 999_999)
+        times = [day * 1_000_000 + now] + [(day - limit + s) * 1_000_000 + f for limit in limits for s in (-1, 0, 1, 2) for f in fractions]
+        spark.createDataFrame([(t,) for t in times], "us long").selectExpr("CAST(timestamp_micros(us) AS timestamp_ntz) AS ts").write.parquet(f"{folder}/events.parquet")
+        whole = [round(Fraction(t, 1_000_000)) for t in times]  # halves to even
+        want = Counter(next((points for limit, points in limits.items() if whole[0] - t < limit), 0) for t in whole)
+        got = {r["points"]: r["n"] for r in catalog.QUERIES["recency_buckets"](spark, folder).collect()}
+        sql = catalog.ORACLE_SQL["recency_buckets"].replace("FROM events", f"FROM '{folder}/events.parquet/*.parquet'")
+        assert got == dict(duckdb.sql(sql).fetchall()) == want
